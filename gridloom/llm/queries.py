@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm import calibrate as cal
 from gridloom.llm import tokenize as tk
 from gridloom.session import table
 
 
+def _categories(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    """What each of the two tables offers: ``(category, id)`` of its records."""
+    points = cal.resolve_classes(table(spark, d, "gdf_points"), table(spark, d, "labels_map"), "point_id", "id", "classname")
+    samples = table(spark, d, "extractor_samples").select(F.col("y").cast("string").alias("category"), F.col("sample_id").alias("id"))
+    return [("gdf_points", points), ("extractor_samples", samples)]
+
+
+def p2_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: records available, records taken, records missing."""
+    targets = table(spark, d, "sample_targets")
+    parts = [cal.plan(targets.filter(F.col("drawn_from") == name), records) for name, records in _categories(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_plan(spark, d).filter("gap > 0").select("target_set", "category").distinct()
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "sample_targets")
+    parts = [cal.draw(targets.filter(F.col("drawn_from") == name), records) for name, records in _categories(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tk.encode_column(table(spark, d, "documents"), "doc_id", "text", tk.tokenizer_path())
 
@@ -21,7 +46,7 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+    return {"p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
 
 
 def oracle_sql() -> dict:
