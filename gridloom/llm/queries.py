@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import calibrate as cal
+from gridloom.llm import density
 from gridloom.llm import tokenize as tk
 from gridloom.session import table
 
@@ -34,6 +35,14 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+#: Two samples are similar up to this distance of their ten bands.
+SIMILAR, BANDS = 150.0, 10
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return density.clusters(table(spark, d, "extractor_samples"), "sample_id", "x", SIMILAR, BANDS)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tk.encode_column(table(spark, d, "documents"), "doc_id", "text", tk.tokenizer_path())
 
@@ -46,7 +55,7 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+    return {"p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
 
 
 def oracle_sql() -> dict:
