@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.session import cut
@@ -305,3 +305,20 @@ def _settle(points: DataFrame, local: DataFrame, rooted: DataFrame, eps: float,
     merged = components(linked, "p4-settle")
     every = rooted.select("k1", "k2", "id", "a").unionByName(lone)
     return every.join(merged, every.a == merged.node, "left").select("k1", "k2", F.coalesce("root", "a").alias("root"))
+
+
+def describe(df: DataFrame, found: DataFrame, id_col: str, vector_col: str, dims: int, typical: int = 3) -> DataFrame:
+    """``(cluster_id, size, rank, sample_id, distance)``: the medoids of each cluster.
+
+    The member with the smallest sum of squared distances to all members is the
+    one nearest the mean, so medoids need one mean per cluster and no pairs;
+    rank 1 is the medoid, ties go to the smaller id. Means combine before the
+    shuffle, and the ranking keeps only ``typical`` rows per task and cluster.
+    """
+    vectors = usable(df, id_col, vector_col, dims).groupBy("id").agg(F.min("x").alias("x"))
+    placed = found.join(vectors, found.sample_id == vectors.id).select("cluster_id", "sample_id", "x")
+    means = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg(F.element_at("x", i + 1)) for i in range(dims)]).alias("mean"))
+    apart = F.sqrt(F.aggregate(F.zip_with("x", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    near = placed.join(means, "cluster_id").select("cluster_id", "size", "sample_id", F.round(apart, 6).alias("distance"))
+    order = Window.partitionBy("cluster_id").orderBy("distance", "sample_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= typical).select("cluster_id", "size", "rank", "sample_id", "distance")

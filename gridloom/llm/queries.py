@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import calibrate as cal
 from gridloom.llm import density
+from gridloom.llm import quantiles as qt
 from gridloom.llm import tokenize as tk
-from gridloom.session import table
+from gridloom.session import cut, table
 
 
 def _categories(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
@@ -35,6 +36,21 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+FRACTIONS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per y and band, by acquisition day and over all days (day null).
+
+    The whole is combined from the summaries of the days; the samples are read
+    once.
+    """
+    keys = {"y": F.col("y"), "day": F.to_date("acquired_at")}
+    days = cut(qt.summarize(table(spark, d, "extractor_samples"), keys, "x", BANDS), "p3-days")
+    whole = qt.combine(days, ["y"]).withColumn("day", F.lit(None).cast("date"))
+    return qt.percentiles(days.unionByName(whole), ["y", "day"], FRACTIONS)
+
+
 #: Two samples are similar up to this distance of their ten bands.
 SIMILAR, BANDS = 150.0, 10
 
@@ -43,6 +59,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return density.clusters(table(spark, d, "extractor_samples"), "sample_id", "x", SIMILAR, BANDS)
 
 
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical samples of every cluster."""
+    samples = table(spark, d, "extractor_samples")
+    found = cut(p4_found(spark, d), "p4-found")
+    return density.describe(samples, found, "sample_id", "x", BANDS)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tk.encode_column(table(spark, d, "documents"), "doc_id", "text", tk.tokenizer_path())
 
@@ -55,7 +78,7 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p4_found": p4_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+    return {"p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
 
 
 def oracle_sql() -> dict:
