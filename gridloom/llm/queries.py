@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import calibrate as cal
 from gridloom.llm import density
+from gridloom.llm import leakage
 from gridloom.llm import quantiles as qt
 from gridloom.llm import tokenize as tk
 from gridloom.session import cut, table
@@ -77,8 +78,12 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").filter(F.coalesce("text", F.lit("")) != F.col("decoded")).select("doc_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", run=12)
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+    return {"p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict:
