@@ -9,6 +9,7 @@ from gridloom.llm import calibrate as cal
 from gridloom.llm import density
 from gridloom.llm import leakage
 from gridloom.llm import quantiles as qt
+from gridloom.llm import residue as rs
 from gridloom.llm import tokenize as tk
 from gridloom.session import cut, table
 
@@ -82,8 +83,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", run=12)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return rs.residue(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found}
+    return {"p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict:
