@@ -11,9 +11,29 @@ from gridloom.llm import leakage
 from gridloom.llm import quantiles as qt
 from gridloom.llm import residue as rs
 from gridloom.llm import tokenize as tk
+from gridloom.llm.varied import varied_subset
+from gridloom.operators.proximity import read_points
 from gridloom.session import cut, table
 
 
+#: Records that the varied subsets hold.
+SAMPLES, POINTS = 2000, 500
+
+
+def p1_subset(spark: SparkSession, d: str) -> DataFrame:
+    """A varied subset of the samples by their bands and label, and one of the points by class and place."""
+    samples = table(spark, d, "extractor_samples").filter(~F.coalesce(F.array_contains("x", F.lit(density.MASK)), F.lit(False)))
+    first = varied_subset(samples, "sample_id", F.col("x"), F.col("y"), BANDS, SAMPLES)
+    source = table(spark, d, "gdf_points")
+    classes = cal.resolve_classes(source, table(spark, d, "labels_map"), "point_id", "id", "classname").groupBy("id").agg(F.min("category").alias("category"))
+    # points without readable place lie at the origin of their class: they are a kind of their own
+    places = read_points(source, "point_id", "geometry").groupBy("id").agg(F.min(F.struct("x", "y")).alias("p"))
+    every = source.select(F.col("point_id").alias("id")).filter("id is not null").distinct().join(places, "id", "left").join(classes, "id", "left")
+    at = F.array(F.coalesce(F.col("p.x"), F.lit(0.0)), F.coalesce(F.col("p.y"), F.lit(0.0)))
+    second = varied_subset(cut(every.select("id", at.alias("xy"), "category"), "p1-points"), "id", F.col("xy"), F.col("category"), 2, POINTS)
+    return first.withColumn("drawn_from", F.lit("extractor_samples")).unionByName(second.withColumn("drawn_from", F.lit("gdf_points")))
+
+
 def _categories(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     """What each of the two tables offers: ``(category, id)`` of its records."""
     points = cal.resolve_classes(table(spark, d, "gdf_points"), table(spark, d, "labels_map"), "point_id", "id", "classname")
@@ -88,7 +108,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_subset": p1_subset, "p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict:
