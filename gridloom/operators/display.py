@@ -20,7 +20,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 
 def stretch_8bit(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns scaled to 0..255 by their common maximum, truncated."""
-    top = df.agg(F.greatest(*[F.max(c) for c in columns]).alias("_top")).withColumn("_one", F.lit(1))
+    top = df.agg(F.array_max(F.array(*[F.max(c) for c in columns])).alias("_top")).withColumn("_one", F.lit(1))
     joined = df.withColumn("_one", F.lit(1)).join(top, "_one")
     return joined.withColumns({c: (255 * F.try_divide(F.col(c).cast("double"), F.col("_top").cast("double"))).cast("int") for c in columns}).drop("_one", "_top")
 

@@ -334,10 +334,10 @@ def labels_dimension(spark: SparkSession, d: str) -> DataFrame:
     return sp.labels_map(named, "id").select("classname", F.col("id").cast("int").alias("id"))
 
 
-@query("""SELECT sample_id, y, x FROM extractor_samples WHERE x IS NOT NULL AND NOT (len(x) > 0 AND list_bool_and(list_transform(x, lambda v: v IS NOT NULL AND v = 9999))) AND len(x) > 0""")
+@query("""SELECT sample_id, y, CAST(len(x) AS INTEGER) AS bands, CAST(len(list_filter(x, lambda v: v = 9999)) AS INTEGER) AS masked FROM extractor_samples WHERE x IS NOT NULL AND NOT (len(x) > 0 AND list_bool_and(list_transform(x, lambda v: v IS NOT NULL AND v = 9999))) AND len(x) > 0""")
 def usable_samples(spark: SparkSession, d: str) -> DataFrame:
     """Samples kept by the all-bands-masked rule; empty vectors hold no band and are left out."""
-    return table(spark, d, "extractor_samples").filter((F.size("x") > 0) & ~sp.all_masked(F.col("x"))).select("sample_id", "y", "x")
+    return table(spark, d, "extractor_samples").filter((F.size("x") > 0) & ~sp.all_masked(F.col("x"))).select("sample_id", "y", F.size("x").alias("bands"), F.size(F.filter("x", lambda v: v == sp.MASK)).alias("masked"))
 
 
 def _aoi(spark: SparkSession, d: str) -> DataFrame:
