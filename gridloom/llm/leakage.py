@@ -119,9 +119,12 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     the documents per block: one counts how often the item shingles occur (one
     row per task and shingle), one joins the rarest shingles and verifies.
     Null, empty and short texts on either side make no case; repeated rows give
-    one case; null ids are kept as null.
+    one case; null ids are kept as null. If both tables call their id the same,
+    that of the items is returned as ``<name>_item``. Other columns are not read.
     """
     spark = docs.sparkSession
+    named = f"{item_id}_item" if item_id == doc_id else item_id
+    schema = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, `{named}` {items.schema[item_id].dataType.simpleString()}"
     source = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     found = None
     for block in _blocks(list(_item_words(items, item_id, item_text, run))):
@@ -131,11 +134,10 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
         counts = np.zeros(len(index.known), dtype=np.int64)
         counts[rows.column("place").to_numpy()] = rows.column("n").to_numpy()
         prefix = index.prefixes(counts)
-        schema = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}"
         one = source.mapInArrow(_joiner(sent, spark.sparkContext.broadcast(prefix), to_arrow_type(items.schema[item_id].dataType)), schema)
         found = one if found is None else found.unionByName(one)
     if found is None:
-        return docs.select(doc_id).join(items.select(item_id), F.lit(False))
+        return spark.createDataFrame([], schema)
     return found.distinct()
 
 
