@@ -10,9 +10,12 @@ SCENE = r"^(T[0-9]{2}[^0-9]{3})_([0-9]{8}).*_(B02|B03|B04|B05|B06|B07|B08|B8A|B0
 
 
 def scene_fields(name: Column) -> dict[str, Column]:
-    """tile_n, date, band, attr and key of a scene file name, null if it is none."""
-    ok = name.rlike(SCENE)
-    part = lambda i: F.when(ok, F.regexp_extract(name, SCENE, i))
+    """tile_n, date, band, attr and key of a scene file name, null if it is none.
+
+    The pattern runs once per name: the parts are put side by side, then split.
+    """
+    parts = F.split(F.regexp_replace(name, SCENE + "(?s:.*)$", "\u0001$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+    part = lambda i: F.try_element_at(parts, F.lit(i + 1))
     return {"tile_n": part(1), "date": part(2), "band": part(3), "attr": part(4), "key": F.concat(part(3), part(4))}
 
 
