@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import cut
+
 #: Leaf entries of a class in one task, of a class in the end, and of a node.
 TASK_ENTRIES, FINAL_ENTRIES, BRANCHING = 1024, 2048, 48
 #: Group centres that one broadcast carries at most.
 MAX_SIZE = 100_000
+#: Classes (values of a label, not records) that the driver cuts together.
+MAX_CLASSES = 200
 #: Partial summaries that one merging task takes.
 FAN_IN = 16
 
@@ -116,7 +120,7 @@ class FeatureTree:
         nearest = np.sqrt(np.maximum(d.min(1), 0))
         nearest = nearest[np.isfinite(nearest)]
         step = float(np.median(nearest)) if len(nearest) else 0.0
-        self.threshold = max(1.25 * self.threshold, step, 1e-9)
+        self.threshold = max(1.5 * self.threshold, step, 1e-9)
         order = np.argsort(-self.n, kind="stable")
         old = (self.centre[order], self.n[order], self.ss[order], self.ls[order])
         threshold = self.threshold
@@ -167,17 +171,18 @@ def ward(centres: np.ndarray) -> list[tuple[float, int, int]]:
     return out
 
 
-def cut_groups(entries: dict, size: int) -> list[tuple]:
+def cut_groups(entries: dict, merges: dict, size: int) -> list[tuple]:
     """``(class, centre)`` of at most ``size`` groups over all classes.
 
-    All merges of all classes are carried out from the lowest on until ``size``
-    groups are left; entries of different classes never merge, so with fewer
-    places than classes every class still keeps one group.
+    ``merges`` has the tree of each class. All merges of all classes are carried
+    out from the lowest on until ``size`` groups are left; entries of different
+    classes never merge, so with fewer places than classes every class still
+    keeps one group.
     """
     total = sum(len(c) for c in entries.values())
-    merges = sorted((h, i, key, a, b) for i, (key, c) in enumerate(entries.items()) for h, a, b in ward(c))
+    ordered = sorted((h, i, key, a, b) for i, key in enumerate(entries) for h, a, b in merges[key])
     label = {key: np.arange(len(c)) for key, c in entries.items()}
-    for _, _, key, a, b in merges[: max(0, total - size)]:
+    for _, _, key, a, b in ordered[: max(0, total - size)]:
         own = label[key]
         low, high = sorted((own[a], own[b]))
         own[own == high] = low
@@ -232,7 +237,6 @@ def varied_subset(df: DataFrame, id_col: str, vector: Column, class_of: Column,
         held: dict = {}
         for batch in batches:
             x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, dims)
-            x = x[:, :] if len(x) else x
             classes = np.array(batch.column(1).to_pylist(), dtype=object)
             _insert(held, classes, x, np.ones(len(x)), (x**2).sum(1), x, dims, TASK_ENTRIES)
         out = _rows(held, dims)
@@ -253,17 +257,29 @@ def varied_subset(df: DataFrame, id_col: str, vector: Column, class_of: Column,
         salt = F.pmod(F.spark_partition_id(), F.lit(tasks)).alias("salt")
         entries = entries.groupBy("class", salt).applyInArrow(merge(FINAL_ENTRIES), _ENTRY)
 
-    def group(table: pa.Table) -> pa.Table:
+    def tree(table: pa.Table) -> pa.Table:
         held: dict = {}
         _condense(held, table, dims, FINAL_ENTRIES)
-        got = cut_groups({k: t.centre for k, t in held.items()}, size)
-        return pa.table({"class": pa.array([k for k, _ in got], pa.string()), "centre": pa.array([c.tolist() for _, c in got], pa.list_(pa.float64()))})
-
-    # as many rows as classes times FINAL_ENTRIES: summaries, not records
-    centres = entries.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: group(t.drop_columns(["all"]) if "all" in t.column_names else t), "class string, centre array<double>").toArrow()
+        centre = next(iter(held.values())).centre
+        steps = [*ward(centre), (float("inf"), 0, 0)]
+        return pa.table({
+            "class": pa.array([next(iter(held))] * len(centre), pa.string()), "centre": pa.array(centre.tolist(), pa.list_(pa.float64())),
+            "h": pa.array([s[0] for s in steps]), "a": pa.array([s[1] for s in steps], pa.int32()), "b": pa.array([s[2] for s in steps], pa.int32()),
+        })
+
+    # one tree per class, side by side; at most FINAL_ENTRIES rows of each class come back
+    trees = cut(entries.groupBy("class").applyInArrow(tree, "class string, centre array<double>, h double, a int, b int"), "p1-trees")
+    classes = trees.select("class").distinct().count()
+    if classes > MAX_CLASSES:
+        raise ValueError(f"{classes} classes; at most {MAX_CLASSES} are taken")
+    held: dict = {}
+    for c, centre, h, i, j in zip(*(col.to_pylist() for col in trees.toArrow().columns)):
+        held.setdefault(c, []).append((centre, h, i, j))
+    held = dict(sorted(held.items(), key=lambda kv: str(kv[0])))
+    groups = cut_groups({c: np.array([r[0] for r in v]) for c, v in held.items()}, {c: [r[1:] for r in v if r[1] < float("inf")] for c, v in held.items()}, size)
     spark = df.sparkSession
     by_class: dict = {}
-    for g, (c, centre) in enumerate(zip(centres.column(0).to_pylist(), centres.column(1).to_pylist())):
+    for g, (c, centre) in enumerate(groups):
         by_class.setdefault(c, []).append((g, centre))
     sent = spark.sparkContext.broadcast({c: (np.array([g for g, _ in v]), np.array([p for _, p in v])) for c, v in by_class.items()})
 
