@@ -13,7 +13,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """
     value = F.col(column).cast("double")
     span = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).withColumn("one", F.lit(1))
-    joined = df.select(value.alias("v")).filter("v is not null").withColumn("one", F.lit(1)).join(span, "one")
+    joined = df.select(value.alias("v")).filter("v is not null").withColumn("one", F.lit(1)).join(F.broadcast(span), "one")  # one row
     at = F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * bins)
     return joined.groupBy(F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -21,7 +21,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def stretch_8bit(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns scaled to 0..255 by their common maximum, truncated."""
     top = df.agg(F.array_max(F.array(*[F.max(c) for c in columns])).alias("_top")).withColumn("_one", F.lit(1))
-    joined = df.withColumn("_one", F.lit(1)).join(top, "_one")
+    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")  # one row
     return joined.withColumns({c: (255 * F.try_divide(F.col(c).cast("double"), F.col("_top").cast("double"))).cast("int") for c in columns}).drop("_one", "_top")
 
 

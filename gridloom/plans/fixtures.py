@@ -58,7 +58,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     """Event values as points; the class number is the rank of its name, taken from the few distinct names."""
     e = table(spark, d, "events")
     names = e.select("event_type").distinct().agg(F.array_sort(F.collect_set("event_type")).alias("names")).withColumn("one", F.lit(1))
-    joined = e.select("event_id", "value", "user_id", "event_type").withColumn("one", F.lit(1)).join(names, "one")
+    joined = e.select("event_id", "value", "user_id", "event_type").withColumn("one", F.lit(1)).join(F.broadcast(names), "one")  # one row
     return joined.select(
         F.col("event_id").alias("point_id"), F.col("value").alias("x"), (-(F.col("user_id").cast("double") + 0.5)).alias("y"), F.col("event_type").alias("classname"),
         F.array_position("names", F.col("event_type")).alias("id"),

@@ -38,4 +38,22 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._gridloom_path = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by :func:`cut` that no later plan reads."""
+    _delete(table.sparkSession, table._gridloom_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this library has cut in the shared folder."""
+    _delete(spark, f"{shared_dir(spark)}/gridloom")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
