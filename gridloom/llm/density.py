@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.session import cut
+from gridloom.session import cut, discard
 
 MASK = 9999.0
 #: Axes of the search grid inside a box, and box sides in multiples of eps.
@@ -210,15 +210,17 @@ def components(links: DataFrame, label: str) -> DataFrame:
     """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-links")
     roots = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{label}-roots")
+    last = roots
     while True:
         lowest = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
         took = roots.join(lowest, roots.node == lowest.a, "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("low", "root")).alias("root"))
         # a root learns the lowest label that any of its members has learnt
         taught = took.groupBy("was").agg(F.min("root").alias("best")).withColumnRenamed("was", "of")
         new = cut(took.join(taught, took.was == taught.of, "left").select("node", "was", F.least("root", F.coalesce("best", "root")).alias("root")), f"{label}-round")
-        changed = not new.filter("root <> was").isEmpty()
-        roots = new.select("node", "root")
-        if not changed:
+        discard(last)
+        last, roots = new, new.select("node", "root")
+        if new.filter("root <> was").isEmpty():
+            discard(both)
             return roots
 
 
@@ -255,7 +257,7 @@ def cell_clusters(points: DataFrame, eps: float, dims: int) -> DataFrame:
         spread = spread.withColumn("z", z).withColumn("w", F.floor("z"))
         spread = spread.withColumn(f"w{k}", F.explode(F.when((F.col("z") - F.col("w")) * side < margin, F.array("w", F.col("w") - 1)).otherwise(F.array("w")))).drop("z", "w")
     keys = [f"w{k}" for k in range(cut_axes)]
-    schema = f"k1 bigint, k2 bigint, id {kind}, a {kind}, doubt boolean"
+    schema = f"k1 bigint, k2 bigint, id {kind}, a {kind}, doubt boolean, x array<double>"
 
     def one_box(table: pa.Table) -> pa.Table:
         x = _matrix(table.column("x").combine_chunks(), dims)
@@ -266,9 +268,11 @@ def cell_clusters(points: DataFrame, eps: float, dims: int) -> DataFrame:
         size = np.bincount(label, minlength=len(x))
         keep = np.flatnonzero((size[label] > 1) | many)
         who = np.concatenate([keep, pairs[:, 0], pairs[:, 1]])
+        others = x[np.concatenate([pairs[:, 1], pairs[:, 0]])].tolist()
         return pa.table({
             "k1": table.column("k1").to_numpy()[order][who], "k2": table.column("k2").to_numpy()[order][who], "id": ids[who],
             "a": np.concatenate([ids[label[keep]], ids[pairs[:, 1]], ids[pairs[:, 0]]]), "doubt": np.repeat([False, True], [len(keep), 2 * len(pairs)]),
+            "x": pa.array([None] * len(keep) + others, pa.list_(pa.float64())),
         })
 
     local = cut(spread.groupBy(*keys).applyInArrow(one_box, schema), "p4-boxes")
@@ -284,27 +288,46 @@ def cell_clusters(points: DataFrame, eps: float, dims: int) -> DataFrame:
 
 
 def _settle(points: DataFrame, local: DataFrame, rooted: DataFrame, eps: float, dims: int) -> DataFrame:
-    """Decide the doubtful pairs by their members, and join what they link."""
-    doubts = local.filter("doubt").select("k1", "k2", "id", F.col("a").alias("other")).distinct()
-    of = rooted.select("id", F.col("a").alias("r"))
-    asked = doubts.join(of, "id", "left").join(of.select(F.col("id").alias("other"), F.col("r").alias("s")), "other", "left")
-    asked = asked.withColumn("r", F.coalesce("r", "id")).withColumn("s", F.coalesce("s", "other")).filter("r <> s")
-    asked = cut(asked.select("k1", "k2", "id", "other", "r", "s"), "p4-doubts")
-    if asked.isEmpty():
-        return rooted.select("k1", "k2", F.col("a").alias("root"))
-    # members of the cells in question, each pair of cells compared by members
-    member = points.join(asked.select("k1", "k2", "id", "other", "r", "s").withColumnRenamed("id", "cell"), ["k1", "k2"]).select("cell", "other", "r", "s", "x")
-    left = member.filter("cell < other").select(F.col("cell").alias("p"), F.col("other").alias("q"), F.col("r").alias("a"), F.col("s").alias("b"), F.col("x").alias("u"))
-    right = member.filter("cell > other").select(F.col("other").alias("p"), F.col("cell").alias("q"), F.col("x").alias("v")).distinct()
-    apart = F.aggregate(F.zip_with("u", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    met = left.distinct().join(right, ["p", "q"]).filter(apart <= eps * eps).select("a", "b", "p", "q", "u", "v")
-    linked = cut(met.select("a", "b").distinct(), "p4-met")
-    if linked.isEmpty():
-        return rooted.select("k1", "k2", F.col("a").alias("root"))
-    lone = asked.select("k1", "k2", "id", F.col("r").alias("a")).join(rooted.select("k1", "k2"), ["k1", "k2"], "left_anti").distinct()
-    merged = components(linked, "p4-settle")
-    every = rooted.select("k1", "k2", "id", "a").unionByName(lone)
-    return every.join(merged, every.a == merged.node, "left").select("k1", "k2", F.coalesce("root", "a").alias("root"))
+    """Decide the doubtful pairs by their members, and join what they link.
+
+    First every member is compared with the other cell's representative, which
+    is linear and joins dense neighbours. Only pairs still apart after that are
+    compared member by member, and of them only the members within ``eps`` of
+    the box around the other cell.
+    """
+    doubts = local.filter("doubt").select("k1", "k2", "id", F.col("a").alias("other"), F.col("x").alias("ox")).dropDuplicates(["id", "other"])
+    every = rooted.select("k1", "k2", "id", "a")
+    if doubts.isEmpty():
+        return every.select("k1", "k2", F.col("a").alias("root"))
+    # lone cells have no root yet; they get their own, so that they can be joined
+    lone = doubts.join(every.select("id"), "id", "left_anti").select("k1", "k2", "id", F.col("id").alias("a")).distinct()
+    every = cut(every.unionByName(lone), "p4-every")
+    for step in ("representatives", "members"):
+        roots = every.select("id", F.col("a").alias("r"))
+        asked = doubts.join(roots, "id").join(roots.select(F.col("id").alias("other"), F.col("r").alias("s")), "other").filter("r <> s")
+        asked = cut(asked.withColumnRenamed("id", "cell"), "p4-asked")
+        if asked.isEmpty():
+            break
+        member = points.join(asked, ["k1", "k2"])
+        if step == "representatives":
+            links = member.filter(_apart("x", "ox") <= eps * eps).select("r", "s")
+        else:
+            side = eps / math.sqrt(dims)
+            beyond = F.zip_with("x", "ox", lambda v, o: F.greatest(F.floor(o / side) * side - v, v - (F.floor(o / side) + 1) * side, F.lit(0.0)))
+            near = member.filter(F.aggregate(beyond, F.lit(0.0), lambda t, v: t + v * v) <= eps * eps * (1 + 1e-9)).select("cell", "other", "r", "s", "x").distinct()
+            left = near.filter("cell < other").select("cell", "other", "r", "s", F.col("x").alias("u"))
+            right = near.filter("cell > other").select(F.col("other").alias("cell"), F.col("cell").alias("other"), F.col("x").alias("v"))
+            links = left.join(right, ["cell", "other"]).filter(_apart("u", "v") <= eps * eps).select("r", "s")
+        links = cut(links.distinct().select(F.col("r").alias("a"), F.col("s").alias("b")), "p4-links")
+        if not links.isEmpty():
+            merged = components(links, "p4-settle")
+            every = cut(every.join(merged, every.a == merged.node, "left").select("k1", "k2", "id", F.coalesce("root", "a").alias("a")), "p4-every")
+    return every.select("k1", "k2", F.col("a").alias("root"))
+
+
+def _apart(u: str, v: str):
+    """Squared distance of two vectors."""
+    return F.aggregate(F.zip_with(u, v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
 
 
 def describe(df: DataFrame, found: DataFrame, id_col: str, vector_col: str, dims: int, typical: int = 3) -> DataFrame:
@@ -318,7 +341,7 @@ def describe(df: DataFrame, found: DataFrame, id_col: str, vector_col: str, dims
     vectors = usable(df, id_col, vector_col, dims).groupBy("id").agg(F.min("x").alias("x"))
     placed = found.join(vectors, found.sample_id == vectors.id).select("cluster_id", "sample_id", "x")
     means = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg(F.element_at("x", i + 1)) for i in range(dims)]).alias("mean"))
-    apart = F.sqrt(F.aggregate(F.zip_with("x", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    apart = F.sqrt(_apart("x", "mean"))
     near = placed.join(means, "cluster_id").select("cluster_id", "size", "sample_id", F.round(apart, 6).alias("distance"))
     order = Window.partitionBy("cluster_id").orderBy("distance", "sample_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= typical).select("cluster_id", "size", "rank", "sample_id", "distance")
