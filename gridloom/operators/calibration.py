@@ -82,7 +82,7 @@ def r_squared(pairs: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def line(slope, x, intercept):
-    """The plotted line of a model: the intercept is subtracted, as in the reference behaviour."""
+    """The plotted line of a model: the intercept is subtracted on purpose (see README)."""
     return slope * x - intercept
 
 

@@ -15,7 +15,6 @@ from gridloom.operators import grid as g
 from gridloom.operators import overlap as ov
 from gridloom.operators import raster as r
 from gridloom.operators import sampling as sp
-from gridloom.operators.proximity import read_points
 from gridloom.plans import workflow as wf
 from gridloom.plans.fixtures import BANDS, FOOT, PAIRS, POINTS, PRED, PX, S2, SCENE, UDM, UNIT, bands, cloud_flags, footprints, pairs, points, predictions, px, samples, scene_names
 from gridloom.plans.registry import Registry
@@ -340,12 +339,6 @@ def usable_samples(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extractor_samples").filter((F.size("x") > 0) & ~sp.all_masked(F.col("x"))).select("sample_id", "y", F.size("x").alias("bands"), F.size(F.filter("x", lambda v: v == sp.MASK)).alias("masked"))
 
 
-def _aoi(spark: SparkSession, d: str) -> DataFrame:
-    return g.total_bounds(read_points(table(spark, d, "gdf_points"), "point_id", "geometry"))
-
-
-query(None, "points_aoi")(_aoi)
-
 # --- classification ---------------------------------------------------------------
 
 
