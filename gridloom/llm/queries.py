@@ -111,5 +111,17 @@ def queries() -> dict:
     return {"p1_subset": p1_subset, "p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p8_found": p8_found}
 
 
+_KEY = "trim(lower(regexp_replace({0}, '[\\s\u00a0_-]+', ' ', 'g')))"
+_FOUND = f"""WITH l AS (SELECT classname, CAST(trunc(try_cast(trim(id) AS DOUBLE)) AS BIGINT) AS label, {_KEY.format('classname')} AS k FROM labels_map WHERE classname IS NOT NULL),
+p AS (SELECT DISTINCT point_id, CAST(trunc(try_cast(trim(id) AS DOUBLE)) AS BIGINT) AS label, {_KEY.format('classname')} AS k FROM gdf_points WHERE point_id IS NOT NULL),
+m AS (SELECT k, CASE WHEN max(exact) IS NOT NULL THEN max(exact) WHEN min(near) = max(near) THEN min(near) END AS classname FROM (
+  SELECT n.k, CASE WHEN n.k = l.k THEN classname END AS exact, classname AS near FROM (SELECT DISTINCT k FROM p WHERE label IS NULL AND k <> '') n JOIN l ON damerau_levenshtein(n.k, l.k) <= 1) t GROUP BY 1),
+c AS (SELECT point_id, classname FROM p JOIN l USING (label) UNION SELECT point_id, classname FROM p JOIN m USING (k) WHERE label IS NULL),
+a AS (SELECT 'gdf_points' AS drawn_from, classname AS category, count(DISTINCT point_id) AS n FROM c GROUP BY 2
+  UNION ALL SELECT 'extractor_samples', CAST(y AS VARCHAR), count(DISTINCT sample_id) FROM extractor_samples WHERE y IS NOT NULL GROUP BY 2)
+SELECT DISTINCT target_set, category FROM sample_targets LEFT JOIN a USING (drawn_from, category) WHERE coalesce(n, 0) < share * sample_size OR coalesce(n, 0) < min_count"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """SQL of the queries that it can express; a round trip leaves nothing over."""
+    return {"p2_found": _FOUND, "p6_round_trip": "SELECT doc_id FROM documents WHERE false"}
