@@ -85,3 +85,27 @@ def predict(pixels: DataFrame, model, features: str = "features") -> DataFrame:
     """Adds prediction to every row: a projection, the tasks are the windows."""
     out = model.transform(_vectors(pixels, features))
     return out.withColumn("prediction", F.col("prediction").cast("bigint")).drop("_features", "rawPrediction", "probability")
+
+
+def train_and_report(samples: DataFrame, key: str, trees: int = 200, test_share: float = 0.3, seed: int = 42, depth: int = 10):
+    """A forest on a stratified part of the samples: ``(model, report)``.
+
+    ``report`` is ``(part, accuracy, kappa)`` for the training and the test rows;
+    confusion and class errors come from the same predictions.
+    """
+    from gridloom.operators.sampling import stratified_split
+
+    split = stratified_split(samples, key, "label", test_share, seed)
+    model = train_forest(split.filter("not is_test"), trees=trees, seed=seed, depth=depth)
+    done = predict(split, model).select("is_test", F.col("label").alias("truth"), "prediction")
+    parts = [accuracy_kappa(done.filter(F.col("is_test") == F.lit(t))).withColumn("part", F.lit(name)) for t, name in ((False, "train"), (True, "test"))]
+    return model, parts[0].unionByName(parts[1]).select("part", "accuracy", "kappa")
+
+
+def repeated_runs(samples: DataFrame, key: str, runs: int, **options) -> DataFrame:
+    """Reports of several runs, each with its own split and forest, by run number."""
+    out = None
+    for run in range(1, runs + 1):
+        report = train_and_report(samples, key, seed=run, **options)[1].withColumn("run", F.lit(run))
+        out = report if out is None else out.unionByName(report)
+    return out

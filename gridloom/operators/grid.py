@@ -27,6 +27,33 @@ def resampled_grid(grids: DataFrame, scale: float) -> DataFrame:
     return grids.withColumns(out | {k: F.floor(F.col(k) * scale).cast("int") for k in ("width", "height")})
 
 
+def crop_window(grids: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """The smallest window of each grid that holds a polygon, rounded outward and cut to the grid.
+
+    Adds col_off, row_off, and sets c, f, width and height; grids that the
+    polygon does not meet are left out.
+    """
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    cols = [(F.lit(x) - F.col("c")) / F.col("a") for x in (min(xs), max(xs))]
+    rows = [(F.lit(y) - F.col("f")) / F.col("e") for y in (max(ys), min(ys))]
+    out = grids.withColumns({
+        "col_off": F.greatest(F.floor(cols[0]).cast("int"), F.lit(0)), "row_off": F.greatest(F.floor(rows[0]).cast("int"), F.lit(0)),
+        "_right": F.least(F.ceil(cols[1]).cast("int"), F.col("width")), "_bottom": F.least(F.ceil(rows[1]).cast("int"), F.col("height")),
+    }).filter("_right > col_off and _bottom > row_off")
+    return out.withColumns({
+        "c": F.col("c") + F.col("a") * F.col("col_off"), "f": F.col("f") + F.col("e") * F.col("row_off"),
+        "width": F.col("_right") - F.col("col_off"), "height": F.col("_bottom") - F.col("row_off"),
+    }).drop("_right", "_bottom")
+
+
+def set_metadata(grids: DataFrame, **values) -> DataFrame:
+    """Grids with some metadata overwritten; an unknown name is a ``ValueError``."""
+    unknown = [k for k in values if k not in grids.columns]
+    if unknown:
+        raise ValueError(f"unknown metadata {unknown}")
+    return grids.withColumns({k: F.lit(v) for k, v in values.items()})
+
+
 def block_windows(grids: DataFrame, block: int) -> DataFrame:
     """One row per block of at most ``block`` x ``block`` pixels, in row order."""
     rows = F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / block).cast("int")))

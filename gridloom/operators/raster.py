@@ -52,6 +52,11 @@ def apply_mask(pixels: DataFrame, bands: list[str], masked: Column, fill=0) -> D
     return pixels.withColumns({b: F.when(masked, F.lit(fill)).otherwise(F.col(b)) for b in bands})
 
 
+def raster_to_mask(pixels: DataFrame, band: str, values: list, inside=1, outside=0) -> DataFrame:
+    """A band replaced by a mask: ``inside`` where the value is one of ``values``."""
+    return pixels.withColumn(band, F.when(mask_values(band, values), F.lit(inside)).otherwise(F.lit(outside)))
+
+
 def mask_by(pixels: DataFrame, mask: DataFrame, bands: list[str], fill=FILL) -> DataFrame:
     """Mask by another raster's ``masked`` column, cell by cell (grids must agree)."""
     return apply_mask(pixels.join(mask.select(*CELL, "masked"), CELL), bands, F.col("masked"), fill).drop("masked")
@@ -98,6 +103,24 @@ def resample_nearest(pixels: DataFrame, scale: float, height: int | None = None,
     return out
 
 
+def resample_bilinear(pixels: DataFrame, bands: list[str], scale: float, height: int, width: int) -> DataFrame:
+    """Bilinear resampling: every target pixel weighs its (up to) four neighbours.
+
+    Each source pixel is sent to the targets it weighs in, and one aggregation
+    sums them; weights are renewed at the border and where a neighbour is null.
+    """
+    out = pixels.select(*CELL, *bands)
+    for axis, size, weight in (("row_idx", height, "_wr"), ("col_idx", width, "_wc")):
+        at = F.col(axis)
+        first = F.greatest(F.ceil((at - 0.5) * scale - 0.5), F.lit(0).cast("bigint"))
+        last = F.least(F.floor((at + 1.5) * scale - 0.5), F.lit(int(size * scale) - 1).cast("bigint"))
+        targets = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+        out = out.withColumn("_t", F.explode(targets)).withColumn(weight, 1 - F.abs((F.col("_t") + 0.5) / scale - 0.5 - at)).filter(F.col(weight) > 0)
+        out = out.withColumn(axis, F.col("_t")).drop("_t")
+    w = F.col("_wr") * F.col("_wc")
+    return out.groupBy(*CELL).agg(*[F.try_divide(F.sum(w * F.col(b)), F.sum(F.when(F.col(b).isNotNull(), w))).alias(b) for b in bands])
+
+
 def resample_average(pixels: DataFrame, bands: list[str], factor: int) -> DataFrame:
     """Mean over blocks of ``factor`` x ``factor`` pixels; nulls do not count."""
     cell = [F.floor(F.col(c) / factor).alias(c) for c in CELL]

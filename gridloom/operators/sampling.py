@@ -26,6 +26,11 @@ def extract(points: DataFrame, pixels: DataFrame, bands: list[str], transform: t
     return got.select("point_id", features.alias("features"), F.col("id").cast("int").alias("label")).filter(~F.forall("features", lambda v: F.coalesce(v == mask, F.lit(False))))
 
 
+def clip_points(points: DataFrame, left: float, bottom: float, right: float, top: float) -> DataFrame:
+    """Points inside a raster's bounds, its border included."""
+    return points.filter(F.col("x").between(left, right) & F.col("y").between(bottom, top))
+
+
 def labels_map(points: DataFrame, order: str) -> DataFrame:
     """``(classname, id)``: the first id of every class."""
     return points.filter("classname is not null").groupBy("classname").agg(F.min_by(F.col("id").cast("string"), order).alias("id"))

@@ -156,6 +156,27 @@ def output_names(spark: SparkSession, d: str) -> DataFrame:
     return scene_names(spark, d).select("pos", F.concat(F.concat_ws("_", F.substring(stem, 1, 6), F.substring(stem, 8, 8)), F.lit(".tif")).alias("out_name"))
 
 
+@query(f"""{_COVER}, i AS (SELECT s_suppkey AS img, (s_suppkey % 10) * 90 AS l, (s_suppkey // 10) * 90 AS b FROM supplier)
+SELECT img, CAST(cloud_pct AS DOUBLE) AS cloud_pct, printf('%.2f %d', CAST(cloud_pct AS DOUBLE), img) AS line FROM cover JOIN i USING (img)
+WHERE cloud_pct < 10 AND cloud_pct <> 0 AND EXISTS (SELECT 1 FROM events WHERE value BETWEEN l AND l + 100 AND user_id BETWEEN b AND b + 100)""")
+def filter_images_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Images over at least one point and with few clouds, sorted, with their report lines."""
+    over = image_semi_join(spark, d).select(F.col("id").alias("img"))
+    clear = ct.clear_images(ct.cloud_cover(cloud_flags(spark, d), "img", "v"), 10.0).join(over, "img", "left_semi")
+    return clear.withColumn("line", F.format_string("%.2f %d", "cloud_pct", "img")).orderBy("cloud_pct", "img")
+
+
+@query()
+def rf_report(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy on training and test rows of two runs with their own seeds."""
+    return cl.repeated_runs(samples(spark, d), "vec_id", 2, trees=10, depth=6)
+
+
+@query(f"WITH {POINTS} SELECT point_id, x, y FROM pts WHERE x BETWEEN 10 AND 60 AND y BETWEEN -40.5 AND -3.25")
+def clip_points(spark: SparkSession, d: str) -> DataFrame:
+    return sp.clip_points(points(spark, d), 10.0, -40.5, 60.0, -3.25).select("point_id", "x", "y")
+
+
 # --- overlaps -------------------------------------------------------------------
 
 _MEET = 'a."left" <= b."right" AND b."left" <= a."right" AND a.bottom <= b.top AND b.bottom <= a.top'

@@ -166,6 +166,28 @@ def resample_down2(spark: SparkSession, d: str) -> DataFrame:
     return r.resample_nearest(bands(spark, d, "nir"), 0.5)
 
 
+@query(f"""WITH {PX}, s AS (SELECT max(row_idx) + 1 AS h FROM px), t AS (SELECT i AS row_idx, j AS col_idx, (i + 0.5) / 2 - 0.5 AS r, (j + 0.5) / 2 - 0.5 AS c FROM s, range(100000) a(i), range(200) b(j) WHERE i < h * 2),
+k AS (SELECT t.row_idx, t.col_idx, (1 - abs(r - px.row_idx)) * (1 - abs(c - px.col_idx)) AS w, red FROM t, range(2) a(di), range(2) b(dj) JOIN px ON px.row_idx = CAST(floor(r) AS BIGINT) + di AND px.col_idx = CAST(floor(c) AS BIGINT) + dj)
+SELECT row_idx, col_idx, round(CAST(sum(w * red) / sum(w) AS DOUBLE), 6) AS red FROM k WHERE w > 0 GROUP BY 1, 2""")
+def resample_bilinear2(spark: SparkSession, d: str) -> DataFrame:
+    height = (px(spark, d).agg(F.max("row_idx")).first()[0] or 0) + 1
+    return r.resample_bilinear(bands(spark, d, "red"), ["red"], 2, int(height), 100).select("row_idx", "col_idx", F.round("red", 6).alias("red"))
+
+
+@query(f"WITH {PX} SELECT row_idx, col_idx, CASE WHEN scl IN (3, 7, 8, 9, 10) THEN 1 ELSE 0 END AS scl FROM px")
+def raster_to_mask(spark: SparkSession, d: str) -> DataFrame:
+    return r.raster_to_mask(bands(spark, d, "scl"), "scl", r.CLOUD_CLASSES)
+
+
+@query("""WITH b AS (SELECT raster_id, c, f, a, e, width, height, greatest(CAST(floor((912345.0 - c) / a) AS INTEGER), 0) AS col_off, greatest(CAST(floor((9890000.0 - f) / e) AS INTEGER), 0) AS row_off,
+  least(CAST(ceil((925000.5 - c) / a) AS INTEGER), width) AS r, least(CAST(ceil((9871000.0 - f) / e) AS INTEGER), height) AS t FROM rasters)
+SELECT raster_id, col_off, row_off, c + a * col_off AS c, f + e * row_off AS f, r - col_off AS width, t - row_off AS height FROM b WHERE r > col_off AND t > row_off""")
+def polygon_crop_window(spark: SparkSession, d: str) -> DataFrame:
+    """The window that a polygon cuts out of every raster it meets."""
+    ring = [(912345.0, 9890000.0), (925000.5, 9880000.0), (920000.0, 9871000.0)]
+    return g.crop_window(table(spark, d, "rasters"), ring).select("raster_id", "col_off", "row_off", "c", "f", "width", "height")
+
+
 @query(f"WITH {PX} SELECT row_idx // 4 AS row_idx, col_idx // 4 AS col_idx, avg(red) AS red FROM px GROUP BY 1, 2")
 def resample_average4(spark: SparkSession, d: str) -> DataFrame:
     return r.resample_average(bands(spark, d, "red"), ["red"], 4)

@@ -19,6 +19,13 @@ def scene_catalog(files: DataFrame, name: str = "fname") -> DataFrame:
     return files.withColumns(scene_fields(F.col(name))).filter("key is not null")
 
 
+def require_matches(catalog: DataFrame) -> DataFrame:
+    """The catalogue itself; an empty one is a ``ValueError``. Looks for one row."""
+    if catalog.isEmpty():
+        raise ValueError("no file name fits")
+    return catalog
+
+
 def duplicate_bands(catalog: DataFrame, group: list[str]) -> DataFrame:
     """Suffix-less bands that occur more than once in a group: a catalogue error."""
     return catalog.filter("attr = ''").groupBy(*group, "band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -293,3 +293,28 @@ def None_frame():
         columns = ["row_idx", "col_idx"]
 
     return Columns()
+
+
+def test_crop_window_and_metadata(spark):
+    grids = spark.createDataFrame([("a", 10.0, -10.0, 100.0, 500.0, 5, 3), ("far", 10.0, -10.0, 9000.0, 500.0, 5, 3)], "raster_id string, a double, e double, c double, f double, width int, height int")
+    got = g.crop_window(grids, [(112.0, 489.0), (131.0, 489.0), (120.0, 300.0)]).collect()
+    assert [(x.raster_id, x.col_off, x.row_off, x.c, x.f, x.width, x.height) for x in got] == [("a", 1, 1, 110.0, 490.0, 3, 2)]
+    assert g.set_metadata(grids, width=7).first().width == 7
+    with pytest.raises(ValueError):
+        g.set_metadata(grids, colour=1)
+
+
+def test_bilinear(spark):
+    flat = as_dict(r.resample_bilinear(grid_of(spark, [[4.0] * 3] * 2), ["v"], 2, 2, 3), "v")
+    assert len(flat) == 24 and all(abs(v - 4) < 1e-12 for v in flat.values())
+    ramp = as_dict(r.resample_bilinear(grid_of(spark, [[0.0, 4.0]]), ["v"], 2, 1, 2), "v")
+    assert [round(ramp[0, j], 9) for j in range(4)] == [0.0, 1.0, 3.0, 4.0]
+
+
+def test_requirements(spark):
+    with pytest.raises(ValueError):
+        ct.require_matches(ct.scene_catalog(spark.createDataFrame([("x",)], "fname string")))
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 0.0), (3, None, 0.0)], "point_id long, x double, y double")
+    assert [p.point_id for p in sp.clip_points(pts, 0.0, 0.0, 1.0, 1.0).collect()] == [1]
+    mask = as_dict(r.raster_to_mask(grid_of(spark, [[3, 1, None]], kind="int"), "v", [3]), "v")
+    assert mask == {(0, 0): 1, (0, 1): 0, (0, 2): 0}
