@@ -14,7 +14,8 @@ clusters are the sets connected by similarity, directly or through others.
    ``eps`` are linked. Two cells of which only unseen members might be within
    ``eps`` are noted as doubtful.
 4. Box clusters that share a core cell (one of the margin) are merged by
-   distributed label propagation.
+   distributed label propagation. A box that holds too many representatives for
+   one task is clustered in pairs of blocks, which share cells in the same way.
 5. Doubtful cell pairs that the merge has not joined anyway are decided by
    comparing their members exactly, and the merge is carried on with them.
 """
@@ -36,6 +37,8 @@ MASK = 9999.0
 AXES, SIDE = 4, 16.0
 #: Vectors that a box should hold on average, and boxes that an axis adds.
 BOX_ROWS, BOXES_AN_AXIS = 30_000, 2.2
+#: Representatives that one task clusters at most; a fuller box is taken in pairs of blocks.
+BOX_LIMIT = 1_000_000
 #: Candidate pairs that are expanded at once (8 bytes each, twice).
 PAIRS_AT_ONCE = 2_000_000
 #: A fine cell with more representatives than this is searched leader by leader.
@@ -249,7 +252,7 @@ def cell_clusters(points: DataFrame, eps: float, dims: int) -> DataFrame:
     cells = points.groupBy("k1", "k2").agg(F.min(F.struct("id", "x")).alias("first"), F.max(F.struct("id", "x")).alias("last"))
     # rows of one id with one vector are no company: crowded is a cell with two different members
     cells = cells.select("k1", "k2", F.col("first.id").alias("id"), (F.col("first") != F.col("last")).alias("many"), F.col("first.x").alias("x"))
-    spread = cells
+    spread = cells = cut(cells, "p4-cells")
     # one-sided margins: a box also holds what lies beyond its upper faces by at most the margin
     margin = F.when(F.col("many"), 3 * eps * (1 + 1e-9)).otherwise(2 * eps * (1 + 1e-9))
     for k, axis in enumerate(axes[:cut_axes]):
@@ -275,6 +278,7 @@ def cell_clusters(points: DataFrame, eps: float, dims: int) -> DataFrame:
             "x": pa.array([None] * len(keep) + others, pa.list_(pa.float64())),
         })
 
+    spread, keys = _in_blocks(spread, keys)
     local = cut(spread.groupBy(*keys).applyInArrow(one_box, schema), "p4-boxes")
     # shared core cells: a cell that several boxes hold links their labels
     firm = local.filter("not doubt").select("k1", "k2", "id", "a").distinct()
@@ -287,6 +291,24 @@ def cell_clusters(points: DataFrame, eps: float, dims: int) -> DataFrame:
     return _settle(points, local, rooted, eps, dims)
 
 
+def _in_blocks(spread: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Splits boxes of more than BOX_LIMIT representatives into pairs of blocks.
+
+    A full box that no cut in space divides (its rows lie within each other's
+    margins) is divided by a hash of the id; every two of its blocks meet in one
+    group, so every two rows do, and the groups' clusters merge like those of
+    boxes. There are at most rows / BOX_LIMIT such boxes, so their list is small.
+    """
+    full = cut(spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BOX_LIMIT), "p4-full")
+    if full.isEmpty():
+        return spread, keys
+    blocks = F.coalesce(F.ceil(F.col("_n") * 2 / BOX_LIMIT), F.lit(1)).cast("int")
+    split = spread.join(F.broadcast(full), keys, "left").withColumn("_b", blocks).withColumn("_h", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int"))
+    split = split.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    split = split.withColumn("_p", F.least("_h", "_j")).withColumn("_q", F.greatest("_h", "_j")).drop("_n", "_b", "_h", "_j")
+    return split, [*keys, "_p", "_q"]
+
+
 def _settle(points: DataFrame, local: DataFrame, rooted: DataFrame, eps: float, dims: int) -> DataFrame:
     """Decide the doubtful pairs by their members, and join what they link.
 

@@ -34,6 +34,15 @@ def test_like_brute_force(spark, monkeypatch, seed, dims, spread):
     assert got == brute(ids, x, 150.0)
 
 
+def test_full_boxes_are_taken_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dn, "BOX_LIMIT", 30)
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(0, 160, (120, 3)), rng.uniform(-900, 900, (60, 3))]
+    ids = rng.permutation(len(x))
+    got = {tuple(r) for r in dn.clusters(frame(spark, ids, x), "sample_id", "x", 150.0, 3).collect()}
+    assert got == brute(ids, x, 150.0)
+
+
 def test_doubtful_members_link(spark):
     """Representatives are too far apart, other members of the cells are not."""
     side = 150 / np.sqrt(2)
