@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table; only the columns a query selects are scanned."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once per context.
+
+    The packed modules go to the shared folder and are added as a Python file,
+    so that workers need neither an installation nor the driver's search path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_gridloom_shipped", False):
+        return
+    here, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(here.rglob("*.py")):
+            z.writestr(f"{here.name}/{source.relative_to(here).as_posix()}", source.read_bytes())
+    path = f"{shared_dir(spark)}/gridloom-code-{uuid.uuid4().hex}/gridloom.zip"
+    at, fs = _file_system(spark, path)
+    out = fs.create(at)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(path)
+    context._gridloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, taken from ``spark.checkpoint.dir``.
 
@@ -54,6 +80,11 @@ def clear(spark: SparkSession) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, fs = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's path and file system object of a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
