@@ -87,7 +87,7 @@ STAND_INS = frozenset("dummy text blah bla word words filler placeholder foo bar
 _HEAD = re.compile(r"<head>.*?</head>", re.S | re.I)
 _TAG = re.compile(r"</?(?:html|body|h\d|p|hr|br|div|noscript|span|center|pre)\b[^<>]*>", re.I)
 _URL = re.compile(r"\b(?:https?://|www\.)\S+")
-_MAIL = re.compile(r"\b[\w.+-]+@[\w-]+\.[\w.]+\b")
+_MAIL = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]+\.[\w.]+\b")
 #: Numbers, and dates written with them.
 _NUMBER = re.compile(r"\d+(?:[-/.,:]\d+)*")
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS), re.I)
@@ -127,8 +127,10 @@ def _braced(text: str, at: int) -> str:
 
 
 def parts_of(text: str) -> list[tuple[str, str]]:
-    """``(part, text)``: whole, title, author, abstract and sections.
+    """``(part, text)``: title, author, abstract, sections and whole.
 
+    The whole is taken of every text without sections, whatever its length, and
+    of every one with the tag of an HTML page, wherever it stands.
     Comments, verbatim and listing examples, switched-off passages and authors'
     notes are taken out first; placeholders that use the comment sign are kept.
     """
@@ -154,7 +156,7 @@ def parts_of(text: str) -> list[tuple[str, str]]:
     body = t
     if "\\begin{document}" in t:
         body = t.split("\\begin{document}", 1)[1].split("\\end{document}", 1)[0]
-    if not heads and len(body) < 20_000 or "<html" in t[:400].lower():
+    if not heads or "<html" in t.lower():
         out.append(("whole", body))
     return out
 

@@ -34,6 +34,19 @@ def test_clean(text):
     assert [p for _, p in rs.parts_of(text) if rs.classify(rs.masked(p))] == []
 
 
+@pytest.mark.parametrize("text", ["Lorem ipsum dolor sit amet minim veniam quis nulla magna aliqua. " * 400, "dummy " * 5000, "404 Not Found\n" * 2000, "Please enable JavaScript to read this article.\n" * 600])
+def test_long_texts_without_sections(text):
+    assert len(text) > 20_000
+    for whole in (text, f"\\documentclass{{article}}\n\\begin{{document}}\n{text}\n\\end{{document}}"):
+        assert [rs.classify(rs.masked(p)) for name, p in rs.parts_of(whole) if name == "whole"] in (["filler"], ["message"])
+
+
+def test_html_mark_anywhere():
+    page = "<!-- " + "proxy answer " * 40 + " -->\n<html><body><h1>502 Bad Gateway</h1></body></html>\n\\section{}"
+    assert "whole" in [name for name, _ in rs.parts_of(page)]
+    assert [p for _, p in rs.parts_of(f"{REAL} " * 400) if rs.classify(rs.masked(p))] == []
+
+
 def test_operator(spark):
     vague = "The webmaster moved this; reload the server page"
     rows = [(i, t, "s1") for i, t in enumerate(CASES + CLEAN)] + [(0, CASES[0], None), (None, CASES[0], "s2")]
