@@ -38,8 +38,8 @@ def near_pairs(points: DataFrame, distance: float) -> DataFrame:
     """
     size, d = 4.0 * distance, float(distance)
     home = points.select("id", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    right = F.col("x") > (F.col("cx") + 1) * size - d
-    up = F.col("y") > (F.col("cy") + 1) * size - d
+    right = F.col("x") >= (F.col("cx") + 1) * size - d
+    up = F.col("y") >= (F.col("cy") + 1) * size - d
     down = F.col("y") < F.col("cy") * size + d
     step = lambda ok, dx, dy: F.when(ok, F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")))
     steps = F.filter(F.array(step(F.lit(True), 0, 0), step(right, 1, 0), step(up, 0, 1), step(right & up, 1, 1), step(right & down, 1, -1)), lambda s: s.isNotNull())

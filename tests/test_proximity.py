@@ -79,6 +79,14 @@ def test_near_pairs_like_brute_force(spark):
     assert px.near_pairs(points(spark, []), 25.0).count() == 0
 
 
+def test_near_pairs_across_a_cell_border(spark):
+    """Partners on a border at just the distance, and a lattice full of them."""
+    xy = np.array([(-25.0, 0.0), (0.0, 0.0), (75.0, 0.0), (100.0, 0.0), (0.0, 75.0), (0.0, 100.0), *((1000.0 + 25 * i, 1000.0 + 25 * j) for i in range(9) for j in range(9))])
+    got = {tuple(r) for r in px.near_pairs(points(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(xy)]), 25.0).collect()}
+    assert got == {(i, j) for i in range(len(xy)) for j in range(i + 1, len(xy)) if ((xy[i] - xy[j]) ** 2).sum() <= 625}
+    assert {(0, 1), (2, 3), (4, 5)} <= got
+
+
 def test_repeated_and_null_points(spark):
     df = spark.createDataFrame([(1, "POINT (0 0)", 5, 5.0), (1, "POINT(0.0 0)", 6, 5.0), (2, "POINT (0 3)", 7, 5.0), (None, "POINT (0 0)", 8, 5.0), (3, None, 9, 5.0), (4, "POINT (", 9, 5.0)], "point_id long, geometry string, id long, x double")
     read = px.read_points(df, "point_id", "geometry")
