@@ -2,10 +2,11 @@
 
 Every document is taken apart into its whole text, title, author line, abstract
 and sections. Of each part numbers, addresses, dates and reference codes are
-masked; parts with equal masked text are grouped by hash across documents and
-sources. The text of each group is classified once, by phrase and placeholder
-rules. Rules that name a message or a placeholder outright decide alone; vague
-ones decide only for texts that recur widely, in several documents and sources.
+masked and the text is hashed; all parts are grouped by hash across documents
+and sources. Rules that name a message or a placeholder outright decide for
+single texts. A text that recurs widely needs no known wording: it is a template
+or a message if the documents that share it differ in title, authors or
+abstract, which copies and versions of one article do not.
 """
 
 from __future__ import annotations
@@ -22,6 +23,11 @@ from gridloom.session import cut
 
 #: A vague message must recur in so many documents and sources.
 RECUR_DOCS, RECUR_SOURCES = 5, 2
+#: Titles and author lines meet by chance or belong to one author, and long texts may be copies: without known wording
+#: these must recur in so many documents, in one of so many, and in so many sources.
+WIDE_DOCS, WIDE_SHARE, WIDE_SOURCES = 20, 10_000, 3
+#: Words of a recurring whole text from which it may be the copy of an article.
+ARTICLE_WORDS = 60
 #: Words beside the message that its part may hold (a reference, a signature).
 SPARE_WORDS = 4
 
@@ -96,6 +102,13 @@ _FILLER_COMMAND = re.compile(r"\\(?:lipsum|blindtext|Blindtext|blinddocument|kan
 _REFERENCE = re.compile(r"\bref\.?\s*:?\s*[\w-]+\b|\b\w+/0\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _BRACKET = re.compile(r"\{\{|[$#]\{|<%|\{%|@@|%%|__|<<|<\w[\w -]*/?>|\[(?:your|insert|add|enter|put|type)\b")
+#: Words of the statements and headings that real articles share.
+CUSTOMARY = re.compile(
+    r"\b(?:conflicts?|competing|interests?|acknowledg\w*|thank\w*|grateful|gratitude|fund(?:ed|ing)|grants?|supported by|licen[cs]\w*|copyright|rights reserved|on (?:reasonable )?request|availab(?:le (?:at|from|in|on)|ility)|"
+    r"contribut\w*|ethic\w*|consent|danken|dank|danksagung|interessenkonflikte?|gefördert|förderung|lizenz|remerci\w*|intérêts|financé\w*|soutenu\w*|agradec\w*|intereses|financiad[oa]|apoyad[oa]|licencia|"
+    r"editorial|letters? to the editor|book reviews?|erratum|corrigendum|preface|foreword)\b"
+)
+_MARKUP = re.compile(r"\\(?:[a-zA-Z]+\*?(?:\s?\[[^\]]*\])*(?:\s?\{[^{}]*\})*|[^a-zA-Z])")
 #: Every word that a rule above spells.
 PHRASE_WORDS = frozenset(_WORD.findall(re.sub(r"\\[a-zA-Z]", " ", " ".join([FIELDS, *PLACEHOLDERS, *ERRORS, *SCRIPTS])).lower()))
 
@@ -130,7 +143,8 @@ def parts_of(text: str) -> list[tuple[str, str]]:
     """``(part, text)``: title, author, abstract, sections and whole.
 
     The whole is taken of every text without sections, whatever its length, and
-    of every one with the tag of an HTML page, wherever it stands.
+    of every one with the tag of an HTML page, wherever it stands. The name of a
+    part that ends where the text is cut off begins with "cut".
     Comments, verbatim and listing examples, switched-off passages and authors'
     notes are taken out first; placeholders that use the comment sign are kept.
     """
@@ -145,19 +159,21 @@ def parts_of(text: str) -> list[tuple[str, str]]:
     out = []
     for name, pattern in _PART.items():
         for m in pattern.finditer(t):
-            out.append((name, _braced(t, m.end())))
-    out += [("abstract", m[1]) for m in _ABSTRACT.finditer(t)]
+            inner = _braced(t, m.end())
+            out.append((name if t.startswith("}", m.end() + len(inner)) else f"cut {name}", inner))
+    out += [("abstract" if m[0].endswith("\\end{abstract}") else "cut abstract", m[1]) for m in _ABSTRACT.finditer(t)]
     heads = list(_SECTION.finditer(t))
     for m in heads:
         heading = _braced(t, m.end())
         start = m.end() + len(heading) + 1
         stop = _STOP.search(t, start)
-        out.append(("section", t[start : stop.start() if stop else len(t)]))
+        out.append(("section" if stop else "cut section", t[start : stop.start() if stop else len(t)]))
     body = t
     if "\\begin{document}" in t:
         body = t.split("\\begin{document}", 1)[1].split("\\end{document}", 1)[0]
     if not heads or "<html" in t.lower():
-        out.append(("whole", body))
+        torn = t.count("\\begin{") != t.count("\\end{") or "\\documentclass" in t and "\\end{document}" not in t
+        out.append(("cut whole" if torn else "whole", body))
     return out
 
 
@@ -226,33 +242,66 @@ def classify(text: str) -> str | None:
     return None
 
 
+def _open(text: str) -> str | None:
+    """``text`` or ``long`` for a masked text that is residue if it recurs in otherwise different documents, else None.
+
+    Markup alone, a single word and customary statements are not.
+    """
+    words = len(_WORD.findall(_MARKUP.sub(" ", text) if "\\" in text else text))
+    if words < 2 or CUSTOMARY.search(text):
+        return None
+    return "text" if words < ARTICLE_WORDS else "long"
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()
+
+
 def residue(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """``(doc_id,)`` of the documents of which a part is residue instead of content.
 
     Null, empty, blank, short or cut-off texts are no cases as such; repeated
     rows give one case, a null source counts as one source, a null id stays.
-    One narrow pass takes the documents apart; parts that no rule suspects never
-    leave their task, of the others only a hash of the masked text is shuffled.
-    Groups of equal hashes combine before the shuffle, however widely a message
-    recurs.
+    One narrow pass takes the documents apart and leaves a row of hashes for
+    every part: of its masked text, and of the title, authors and abstract beside
+    it. Rows are counted by hash with partial results before the shuffle; only
+    hashes met often are counted exactly. What is cut off may be equal by chance:
+    it is a case if its text is one, but adds nothing to the counts.
     """
-    schema = f"d {docs.schema[doc_id].dataType.simpleString()}, s {docs.schema[source].dataType.simpleString()}, key binary, verdict string"
+    schema = f"d {docs.schema[doc_id].dataType.simpleString()}, s {docs.schema[source].dataType.simpleString()}, key binary, part string, verdict string, title bigint, author bigint, abstract bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for d, t, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for _, body in parts_of(t) if t and t.strip() else ():
-                    m = masked(body)
-                    if verdict := classify(m):
-                        rows.append((d, s, hashlib.blake2b(m.encode(errors="surrogatepass"), digest_size=16).digest(), verdict))
-            columns = list(zip(*rows)) if rows else [()] * 4
-            types = [batch.column(0).type, batch.column(2).type, pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=["d", "s", "key", "verdict"])
-
-    parts = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(source).alias("s"))
-    suspects = cut(parts.mapInArrow(run, schema), "p8-suspects")
-    by_source = suspects.distinct().groupBy("key", "s").agg(F.count(F.lit(1)).alias("docs"), F.min("verdict").alias("verdict"))
-    groups = by_source.groupBy("key").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sources"), F.min("verdict").alias("verdict"))
-    cases = groups.filter((F.col("verdict") != "vague") | ((F.col("docs") >= RECUR_DOCS) & (F.col("sources") >= RECUR_SOURCES))).select("key")
-    return suspects.join(cases, "key", "left_semi").select(F.col("d").alias(doc_id)).distinct()
+                found, beside = {}, {}
+                for part, body in parts_of(t) if t and t.strip() else ():
+                    if m := masked(body):
+                        key = _digest(m)
+                        beside.setdefault(part.removeprefix("cut "), int.from_bytes(key[:8], "little", signed=True))
+                        if verdict := classify(m) or _open(m):
+                            found.setdefault((key, part), verdict)
+                for (key, part), verdict in found.items():
+                    rows.append((d, s, key, part, verdict, *(None if k == part else beside.get(k) for k in ("title", "author", "abstract"))))
+            columns = list(zip(*rows)) if rows else [()] * 8
+            types = [batch.column(0).type, batch.column(2).type, pa.binary(), pa.string(), pa.string(), *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=["d", "s", "key", "part", "verdict", "title", "author", "abstract"])
+
+    wide = max(WIDE_DOCS, docs.select(doc_id).count() // WIDE_SHARE)
+    parts = cut(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(source).alias("s")).mapInArrow(run, schema), "p8-parts")
+    loose = parts.filter("verdict in ('vague', 'text', 'long')")
+    counted = loose.filter("verdict = 'vague' or part not like 'cut%'")
+    often = counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RECUR_DOCS).select("key")
+    one, beside = F.struct("d", "s"), ("title", "author", "abstract")
+    groups = counted.join(often, "key", "left_semi").groupBy("key").agg(
+        F.min("verdict").alias("verdict"), F.max(~F.col("part").isin("title", "author")).alias("body"), F.count_distinct(one).alias("docs"), F.count_distinct(F.struct("s")).alias("sources"),
+        F.count_distinct(F.when((F.col("part") == "whole") & F.coalesce(*beside).isNull(), one)).alias("alone"), *(F.count_distinct(k).alias(k) for k in beside),
+    )
+    # of the three, two must differ: versions may change one, a template may fill one everywhere
+    apart = F.col("title") + F.col("author") + F.col("abstract") - F.greatest(*beside) - F.least(*beside)
+    message = (F.col("verdict") == "vague") | F.col("body") & (apart >= RECUR_DOCS) | (F.col("verdict") == "text") & (F.col("alone") >= RECUR_DOCS)
+    recurs = (F.col("docs") >= RECUR_DOCS) & (F.col("sources") >= RECUR_SOURCES) & message
+    widely = (F.col("docs") >= wide) & (F.col("sources") >= WIDE_SOURCES) & ((apart >= wide) | (F.greatest(*beside) == 0))
+    cases = groups.filter(recurs | widely).select("key")
+    outright = parts.filter("verdict in ('placeholder', 'filler', 'message')").select("d")
+    return outright.unionAll(loose.join(cases, "key", "left_semi").select("d")).select(F.col("d").alias(doc_id)).distinct()

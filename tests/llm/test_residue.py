@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import residue as rs
 
@@ -56,3 +57,26 @@ def test_operator(spark):
     assert len(got) == len(set(got))
     assert set(got) == {*range(len(CASES)), None, *(range(1000, 1006) if rs.classify(rs.masked(vague)) == "vague" else ())}
     assert rs.residue(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+def test_recurring_texts_in_unlisted_wording(spark):
+    """Messages and templates that no rule knows, versions of one article, statements, chance and cut-off texts."""
+    message = "Il contenuto richiesto non può essere mostrato in questo momento, riprovare più tardi"
+    template = "Qui va inserito il riassunto del lavoro. " * 20
+    statement = "The authors declare that they have no competing interests."
+    own = lambda i: {"title": f"Title {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} of a map", "author": f"A. {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}", "abstract": f"{REAL} Seen by {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}."}
+    cases = [message] * 6 + [paper(**own(i) | {"abstract": template}, sections=(f"{REAL} {own(i)['title']}",)) for i in range(6)]
+    cases += [paper(**own(i + 10), sections=(f"{REAL} {own(i)['title']}", "Testo della sezione da scrivere ancora.")) for i in range(6)]
+    cases += [paper(**own(i + 20) | {"title": "Titolo del lavoro da definire"}, sections=(f"{REAL} {own(i)['author']}",)) for i in range(25)]
+    cases += [f"\\section{{One}} {REAL} Only here. \\section{{Two}} Testo della sezione da scrivere ancora."]
+    clean = [paper(**own(50), sections=(REAL + " Once more.", f"Version text. {REAL}"))] * 8  # copies
+    clean += [paper(**own(51) | {"abstract": f"{REAL} Version {'abcdefgh'[i]}."}, sections=(REAL + " Again.",)) for i in range(8)]  # versions
+    clean += [paper(**own(i + 60), sections=(f"{REAL} {own(i)['abstract']}", statement)) for i in range(8)]
+    clean += [paper(**own(i + 70) | {"title": "On the soil of clear maps"}, sections=(f"{REAL} {own(i)['author']} again",)) for i in range(8)]  # chance
+    clean += [paper(**own(i + 80), sections=(f"{REAL} {own(i)['author']} still", "Neither the soil nor")).split("\\begin{thebib")[0].rstrip() for i in range(8)]  # cut off
+    clean += [paper(**own(i + 90), sections=(f"{REAL} {own(i)['author']} ever", "\\subfile{sections/two}")) for i in range(8)]
+    clean += ["La pagina non si trova da nessuna parte"] * 4
+    df = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(cases + clean)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in rs.residue(df, "doc_id", "text", "source").collect()) == list(range(len(cases)))
+    one_source = df.withColumn("source", F.lit(None).cast("string"))
+    assert rs.residue(one_source, "doc_id", "text", "source").count() == 0
