@@ -85,10 +85,27 @@ VAGUE = re.compile(r"\b(?:javascript|scripts?|browser|server|cookies?|unavailabl
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint "
-    "occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vero porro modi odio ullam natus fuga cursus".split()
+    "occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vero porro modi odio ullam natus fuga cursus "
+    # the passages of Cicero that the usual text was cut from
+    "perspiciatis unde omnis iste error voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis quasi architecto beatae vitae dicta "
+    "explicabo nemo ipsam quia voluptas aspernatur aut odit fugit consequuntur magni dolores eos ratione sequi nesciunt neque quisquam dolorem adipisci numquam eius tempora incidunt magnam "
+    "aliquam quaerat minima nostrum exercitationem corporis suscipit laboriosam aliquid commodi consequatur autem vel eum iure quam nihil molestiae illum quo at accusamus iusto dignissimos "
+    "ducimus blanditiis praesentium voluptatum deleniti atque corrupti quos quas molestias excepturi occaecati cupiditate provident similique mollitia animi dolorum harum quidem rerum facilis "
+    "expedita distinctio nam libero tempore cum soluta nobis eligendi optio cumque impedit minus quod maxime placeat facere possimus assumenda repellendus temporibus quibusdam officiis debitis "
+    "necessitatibus saepe eveniet voluptates repudiandae recusandae itaque earum hic tenetur a sapiente delectus reiciendis voluptatibus maiores alias perferendis doloribus asperiores repellat "
+    # the words of the usual generators
+    "ac accumsan aenean aliquet ante aptent arcu auctor augue bibendum class commodo condimentum congue conubia convallis cras cubilia curabitur curae cursus dapibus diam dictum dictumst "
+    "dignissim dis donec dui efficitur egestas eget eleifend elementum erat eros etiam euismod facilisi facilisis fames faucibus felis fermentum feugiat finibus fringilla fusce gravida habitant "
+    "habitasse hac hendrerit himenaeos iaculis imperdiet inceptos integer interdum justo lacinia lacus laoreet lectus leo libero ligula litora lobortis luctus maecenas massa mattis mauris metus mi "
+    "molestie montes morbi mus nascetur natoque nec netus nibh nisl nostra nullam nunc orci ornare parturient pellentesque penatibus per pharetra phasellus placerat platea posuere potenti praesent "
+    "pretium primis proin pulvinar purus quisque rhoncus ridiculus risus rutrum sagittis sapien scelerisque sem semper senectus sociis sociosqu sodales sollicitudin suscipit suspendisse taciti tellus "
+    "tempus tincidunt torquent tortor tristique turpis ullamcorper ultrices ultricies urna varius vehicula vel venenatis vestibulum vitae vivamus viverra volutpat vulputate".split()
 )
 #: Words that stand for text when repeated over and over.
 STAND_INS = frozenset("dummy text blah bla word words filler placeholder foo bar baz lorem ipsum etc content sample test testing tbd xxx todo abc asdf texto texte mot wort palabra ble".split())
+#: Notes that stand alone where the text is missing, and stand-ins that nothing else is meant by.
+UNDONE = frozenset("tbd tba todo fixme".split())
+PLAIN_STAND_INS = frozenset("dummy blah bla lorem asdf xxx".split()) | UNDONE
 
 _HEAD = re.compile(r"<head>.*?</head>", re.S | re.I)
 _TAG = re.compile(r"</?(?:html|body|h\d|p|hr|br|div|noscript|span|center|pre)\b[^<>]*>", re.I)
@@ -220,7 +237,11 @@ def classify(text: str) -> str | None:
     words = _WORD.findall(bare) if bare is not text else words
     if bare != text and len(words) <= SPARE_WORDS:
         return "filler"
+    if words and set(words) <= UNDONE or len(words) == 1 and len(words[0]) >= 4 and not words[0].strip("x"):
+        return "filler"
     if len(words) >= 2:
+        if set(words) <= STAND_INS | UNDONE and words[0] in PLAIN_STAND_INS:
+            return "filler"
         x = sum(not w.strip("x") for w in words)
         if x >= 0.9 * len(words) and sum(map(len, words)) >= 8:
             return "filler"
