@@ -26,6 +26,9 @@ ACCENTS = {
 #: Commands that print one letter.
 LETTERS = {"ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "o": "ø", "O": "Ø", "aa": "å", "AA": "Å", "l": "ł", "L": "Ł", "i": "i", "j": "j"}
 
+#: Characters that the macros of one document print at most: macros that double each other have no end that fits in memory.
+MACRO_TEXT = 4_000_000
+
 _DEFINED = re.compile(r"\\(?:(?:re|provide)?newcommand|providecommand|DeclareRobustCommand)\*?\s*\{?\s*\\([A-Za-z@]+)\s*\}?\s*\{((?:[^{}]|\{[^{}]*\})*)\}|\\[gex]?def\s*\\([A-Za-z@]+)\s*\{((?:[^{}]|\{[^{}]*\})*)\}")
 _ACCENT = re.compile(r"""\\(?:(['`"^~=.])\s*|([uvHcdbkr])(?:\s+|(?=\{)))(?:\{\s*\\?([A-Za-z])\s*\}|\\?([A-Za-z]))""")
 _LETTER = re.compile(r"\\(ss|ae|AE|oe|OE|o|O|aa|AA|l|L|i|j)(?![A-Za-z])(?:\{\}|\s(?=\S))?")
@@ -84,13 +87,33 @@ def _expand(t: str) -> str:
     if not macros:
         return t
     use = re.compile(r"\\(" + "|".join(sorted(map(re.escape, macros), key=len, reverse=True)) + r")(?![A-Za-z@])(\{\}|[^\S\n]*)")
-    body = _DEFINED.sub(" ", t)
-    for _ in range(3):  # a macro may use another
-        new = use.sub(lambda m: macros[m[1]] + ("" if m[2] in ("{}", "") else " " if m[2] else ""), body)
-        if new == body or len(new) > 4 * len(t) + 1000:
-            break
-        body = new
-    return body
+    # the macros that a body uses are resolved before it; one that leads back to itself prints nothing there
+    done: dict[str, str] = {}
+    for first in macros:
+        path = {} if first in done else {first: use.finditer(macros[first])}
+        while path:
+            name, uses = next(reversed(path.items()))
+            if inner := next((m[1] for m in uses if m[1] not in done and m[1] not in path), None):
+                path[inner] = use.finditer(macros[inner])
+            else:
+                done[name] = _insert(macros[name], use, done)
+                del path[name]
+    return _insert(_DEFINED.sub(" ", t), use, done)
+
+
+def _insert(text: str, use: re.Pattern, macros: dict[str, str]) -> str:
+    """``text`` with the macros put in, as long as they make up no more than MACRO_TEXT characters."""
+    room = MACRO_TEXT
+
+    def put(m: re.Match) -> str:
+        nonlocal room
+        body = macros.get(m[1], "")
+        if len(body) > room:
+            return " "
+        room -= len(body)
+        return body + ("" if m[2] in ("{}", "") else " ")
+
+    return use.sub(put, text)
 
 
 def words(text: str | None) -> list[str]:

@@ -20,6 +20,20 @@ def test_words(text, want):
     assert words(text) == want.split()
 
 
+def test_long_and_nested_macros():
+    long = "".join(f"\\newcommand{{\\W{a}}}{{{w} {PASSAGE}}}" for a, w in zip("abcd", ("one", "two", "three", "four")))
+    assert words(long + r"\Wa{} \Wb{} \Wc{} \Wd{} " * 40) == [x for w in ("one", "two", "three", "four") for x in (w, *PASSAGE.split())] * 40
+    names = "abcdefghij"
+    chain = "".join(f"\\def\\N{a}{{{w} \\N{b}}}" for a, b, w in zip(names, names[1:], PASSAGE.split())) + r"\def\Nj{end}"
+    assert words(chain + r"so \Na.") == ["so", *PASSAGE.split()[:9], "end"]
+    deep = "".join(f"\\newcommand{{\\D{'a' * i}}}{{\\D{'a' * (i + 1)}}}" for i in range(1, 300)) + f"\\newcommand{{\\D{'a' * 300}}}{{core}}"
+    assert words(deep + r"the \Da{} part") == ["the", "core", "part"]
+    assert words(r"\def\A{one \B}\def\B{two \A} start \A{} stop") == ["start", "one", "two", "stop"]
+    assert words(r"\def\A{one \A} start \A stop") == ["start", "one", "stop"]
+    double = "".join(f"\\def\\L{a}{{\\L{b}\\L{b}}}" for a, b in zip("abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyzA")) + r"\def\LA{ha }"
+    assert words(double + r"\La") and words(double + r"\Lw, end") == ["ha"] * 16 + ["end"]
+
+
 def brute(docs, items, run):
     out = set()
     for d, t in docs:
