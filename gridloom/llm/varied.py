@@ -23,10 +23,8 @@ from gridloom.session import cut
 
 #: Leaf entries of a class in one task, of a class in the end, and of a node.
 TASK_ENTRIES, FINAL_ENTRIES, BRANCHING = 1024, 2048, 48
-#: Group centres that one broadcast carries at most.
+#: Records that can be chosen, and group centres that one broadcast carries at about the most.
 MAX_SIZE = 100_000
-#: Classes (values of a label, not records) that the driver cuts together.
-MAX_CLASSES = 200
 #: Partial summaries that one merging task takes.
 FAN_IN = 16
 
@@ -171,22 +169,44 @@ def ward(centres: np.ndarray) -> list[tuple[float, int, int]]:
     return out
 
 
-def cut_groups(entries: dict, merges: dict, size: int) -> list[tuple]:
-    """``(class, centre)`` of at most ``size`` groups over all classes.
+def last_merge(trees: DataFrame, size: int) -> tuple | None:
+    """``(height, class, named, a, b)`` of the lowest merge that is left out if ``size`` groups are kept; None if there is none.
 
-    ``merges`` has the tree of each class. All merges of all classes are carried
-    out from the lowest on until ``size`` groups are left; entries of different
-    classes never merge, so with fewer places than classes every class still
-    keeps one group.
+    All merges of all classes are carried out from the lowest on until ``size``
+    groups are left; entries of different classes never merge, so with fewer
+    places than classes every class still keeps one group. The merges left out
+    are the highest ones, as many as there are places beyond one a class.
     """
-    total = sum(len(c) for c in entries.values())
-    ordered = sorted((h, i, key, a, b) for i, key in enumerate(entries) for h, a, b in merges[key])
-    label = {key: np.arange(len(c)) for key, c in entries.items()}
-    for _, _, key, a, b in ordered[: max(0, total - size)]:
-        own = label[key]
-        low, high = sorted((own[a], own[b]))
-        own[own == high] = low
-    return [(key, entries[key][own == g].mean(0)) for key, own in label.items() for g in np.unique(own)]
+    spare = size - trees.select("class").distinct().count()
+    if spare <= 0:
+        return None
+    order = [F.col("h"), F.coalesce("class", F.lit("None")), F.col("class").isNotNull(), F.col("a"), F.col("b")]
+    named = trees.filter("h < double('inf')").select(*(c.alias(f"k{k}") for k, c in enumerate(order)))
+    highest = named.orderBy(*(F.desc(c) for c in named.columns)).limit(spare)
+    low = highest.agg(F.min(F.struct(*named.columns)).alias("m")).first().m
+    return tuple(low) if low is not None else None
+
+
+def cut_class(table: pa.Table, low: tuple | None) -> np.ndarray:
+    """Centres of the groups of one class, whose tree is cut below the merge ``low``."""
+    table = table.sort_by("i")
+    key = table.column("class")[0].as_py()
+    centres, label = np.array(table.column("centre").to_pylist()), np.arange(table.num_rows)
+    steps = sorted(x for x in zip(*(table.column(c).to_pylist() for c in ("h", "a", "b"))) if x[0] < float("inf"))
+    for h, a, b in steps:
+        if low is not None and (h, str(key), key is not None, a, b) >= low:
+            break
+        first, second = sorted((label[a], label[b]))
+        label[label == second] = first
+    return np.array([centres[label == g].mean(0) for g in np.unique(label)])
+
+
+def _by_class(classes: np.ndarray) -> dict:
+    """Positions of each class."""
+    at: dict = {}
+    for i, key in enumerate(classes.tolist()):
+        at.setdefault(key, []).append(i)
+    return {key: np.array(at[key]) for key in sorted(at, key=str)}
 
 
 def _condense(held: dict, table, dims: int, bound: int) -> None:
@@ -200,8 +220,7 @@ def _condense(held: dict, table, dims: int, bound: int) -> None:
 
 
 def _insert(held, classes, x, n, ss, ls, dims, bound) -> None:
-    for key in sorted(set(classes.tolist()), key=str):
-        own = np.flatnonzero(classes == key)
+    for key, own in _by_class(classes).items():
         held.setdefault(key, FeatureTree(dims, bound)).insert(x[own], n[own], ss[own], ls[own])
 
 
@@ -228,7 +247,6 @@ def varied_subset(df: DataFrame, id_col: str, vector: Column, class_of: Column,
     """
     if size > MAX_SIZE:
         raise ValueError(f"at most {MAX_SIZE} records can be chosen")
-    kind = df.schema[id_col].dataType.simpleString()
     fine = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
     rows = df.select(F.col(id_col).alias("id"), vector.cast("array<double>").alias("x"), class_of.cast("string").alias("class"))
     rows = rows.filter(F.col("id").isNotNull() & (F.size("x") == dims) & fine)
@@ -263,25 +281,39 @@ def varied_subset(df: DataFrame, id_col: str, vector: Column, class_of: Column,
         centre = next(iter(held.values())).centre
         steps = [*ward(centre), (float("inf"), 0, 0)]
         return pa.table({
-            "class": pa.array([next(iter(held))] * len(centre), pa.string()), "centre": pa.array(centre.tolist(), pa.list_(pa.float64())),
+            "class": pa.array([next(iter(held))] * len(centre), pa.string()), "i": pa.array(np.arange(len(centre), dtype=np.int32)), "centre": pa.array(centre.tolist(), pa.list_(pa.float64())),
             "h": pa.array([s[0] for s in steps]), "a": pa.array([s[1] for s in steps], pa.int32()), "b": pa.array([s[2] for s in steps], pa.int32()),
         })
 
-    # one tree per class, side by side; at most FINAL_ENTRIES rows of each class come back
-    trees = cut(entries.groupBy("class").applyInArrow(tree, "class string, centre array<double>, h double, a int, b int"), "p1-trees")
-    classes = trees.select("class").distinct().count()
-    if classes > MAX_CLASSES:
-        raise ValueError(f"{classes} classes; at most {MAX_CLASSES} are taken")
-    held: dict = {}
-    for c, centre, h, i, j in zip(*(col.to_pylist() for col in trees.toArrow().columns)):
-        held.setdefault(c, []).append((centre, h, i, j))
-    held = dict(sorted(held.items(), key=lambda kv: str(kv[0])))
-    groups = cut_groups({c: np.array([r[0] for r in v]) for c, v in held.items()}, {c: [r[1:] for r in v if r[1] < float("inf")] for c, v in held.items()}, size)
-    spark = df.sparkSession
+    # one tree per class, side by side; all are cut at one height, so no task needs to know another's
+    trees = cut(entries.groupBy("class").applyInArrow(tree, "class string, i int, centre array<double>, h double, a int, b int"), "p1-trees")
+    low = last_merge(trees, size)
+
+    def groups_of(table: pa.Table) -> pa.Table:
+        centres = cut_class(table, low)
+        return pa.table({"class": pa.array([table.column("class")[0].as_py()] * len(centres), pa.string()), "centre": pa.array(centres.tolist(), pa.list_(pa.float64()))})
+
+    groups = cut(trees.groupBy("class").applyInArrow(groups_of, "class string, centre array<double>"), "p1-groups")
+    total = groups.count()
+    blocks = 1 if total <= MAX_SIZE else -(-2 * total // MAX_SIZE)  # whole classes, dealt by hash
+    near = None
+    for block in range(blocks):
+        one = _nearest(rows, groups.filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == block), block, dims, df.schema[id_col].dataType)
+        near = one if near is None else near.unionByName(one)
+    one = near.groupBy("block", "g").agg(F.sum("n").alias("group_size"), F.min(F.struct("distance", "id", "class")).alias("m"))
+    picked = one.select(F.col("m.id").alias("id"), F.col("m.class").alias("class"), "group_size", F.round("m.distance", 6).alias("distance"))
+    return picked.groupBy("id").agg(F.min("class").alias("class"), F.sum("group_size").alias("group_size"), F.min("distance").alias("distance"))
+
+
+def _nearest(rows: DataFrame, groups: DataFrame, block: int, dims: int, id_type) -> DataFrame:
+    """``(block, g, n, distance, id, class)``: each task's record nearest each group of one block, and its number of records."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     by_class: dict = {}
-    for g, (c, centre) in enumerate(groups):
+    for g, (c, centre) in enumerate(sorted(zip(*(col.to_pylist() for col in groups.toArrow().columns)), key=lambda v: (str(v[0]), v[0] is not None, v[1]))):
         by_class.setdefault(c, []).append((g, centre))
-    sent = spark.sparkContext.broadcast({c: (np.array([g for g, _ in v]), np.array([p for _, p in v])) for c, v in by_class.items()})
+    sent = rows.sparkSession.sparkContext.broadcast({c: (np.array([g for g, _ in v]), np.array([p for _, p in v])) for c, v in by_class.items()})
+    batch_type = to_arrow_type(id_type)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple] = {}
@@ -289,8 +321,10 @@ def varied_subset(df: DataFrame, id_col: str, vector: Column, class_of: Column,
             ids = batch.column(0)
             x = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, dims)
             classes = np.array(batch.column(2).to_pylist(), dtype=object)
-            for key, (groups, at) in sent.value.items():
-                own = np.flatnonzero(classes == key)
+            for key, own in _by_class(classes).items():
+                if key not in sent.value:
+                    continue
+                groups, at = sent.value[key]
                 for lo in range(0, len(own), 4096):
                     part = own[lo : lo + 4096]
                     k = _square(x[part], at).argmin(1)
@@ -309,10 +343,5 @@ def varied_subset(df: DataFrame, id_col: str, vector: Column, class_of: Column,
             pa.array([b[2] for b in best.values()], batch_type), pa.array([b[3] for b in best.values()], pa.string()),
         ], names=["g", "n", "distance", "id", "class"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_type = to_arrow_type(df.schema[id_col].dataType)
-    near = rows.select("id", "x", "class").mapInArrow(nearest, f"g int, n bigint, distance double, id {kind}, class string")
-    one = near.groupBy("g").agg(F.sum("n").alias("group_size"), F.min(F.struct("distance", "id", "class")).alias("m"))
-    picked = one.select(F.col("m.id").alias("id"), F.col("m.class").alias("class"), "group_size", F.round("m.distance", 6).alias("distance"))
-    return picked.groupBy("id").agg(F.min("class").alias("class"), F.sum("group_size").alias("group_size"), F.min("distance").alias("distance"))
+    near = rows.select("id", "x", "class").mapInArrow(nearest, f"g int, n bigint, distance double, id {id_type.simpleString()}, class string")
+    return near.withColumn("block", F.lit(block))

@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from gridloom.llm import varied as vr
 from pyspark.sql import functions as F
@@ -44,3 +47,16 @@ def test_every_kind_and_class(spark):
     assert vr.varied_subset(df.limit(0), "k", F.col("x"), F.col("class"), 2, 5).count() == 0
     same = spark.createDataFrame([(i, [1.0, 1.0], "a") for i in range(50)], "k long, x array<double>, class string")
     assert [tuple(r)[:3] for r in vr.varied_subset(same, "k", F.col("x"), F.col("class"), 2, 5).collect()] == [(0, "a", 50)]
+
+
+@pytest.mark.parametrize("bound", [100_000, 150])
+def test_any_number_of_classes(spark, monkeypatch, bound):
+    """Six hundred classes, groups in one block or several; the highest merges of all classes are left out."""
+    monkeypatch.setattr(vr, "MAX_SIZE", bound)
+    rows = [(4 * c + k, [float(k // 2) * (c + 1), 0.001 * (k % 2)], f"class {c}" if c else None) for c in range(600) for k in range(4)]
+    df = spark.createDataFrame(rows, "k long, x array<double>, class string")
+    got = vr.varied_subset(df, "k", F.col("x"), F.col("class"), 2, min(bound, 700)).collect()
+    twice = {c for c in Counter(r["class"] for r in got).items() if c[1] == 2}
+    assert {r["class"] for r in got} == {None, *(f"class {c}" for c in range(1, 600))}
+    assert sum(r.group_size for r in got) == len(rows)
+    assert twice == ({(f"class {c}", 2) for c in range(500, 600)} if bound > 700 else set())
