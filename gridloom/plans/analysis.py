@@ -25,6 +25,9 @@ from gridloom.sources import documents as doc
 reg = Registry()
 query = reg.query
 
+#: Runs of training and report, each with a forest of its own.
+RUNS = 30
+
 _PARSED = f"""SELECT pos, fname, regexp_extract(fname, {SCENE}, 1) AS tile_n, regexp_extract(fname, {SCENE}, 2) AS date, regexp_extract(fname, {SCENE}, 3) AS band,
   regexp_extract(fname, {SCENE}, 4) AS attr, concat(regexp_extract(fname, {SCENE}, 3), regexp_extract(fname, {SCENE}, 4)) AS "key" FROM s2 WHERE regexp_matches(fname, {SCENE})"""
 
@@ -168,8 +171,8 @@ def filter_images_end_to_end(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rf_report(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy on training and test rows of two runs with their own seeds."""
-    return cl.repeated_runs(samples(spark, d), "vec_id", 2, trees=10, depth=6)
+    """Accuracy on training and test rows of thirty runs with their own seeds."""
+    return cl.repeated_runs(samples(spark, d), "vec_id", RUNS)
 
 
 @query(f"WITH {POINTS} SELECT point_id, x, y FROM pts WHERE x BETWEEN 10 AND 60 AND y BETWEEN -40.5 AND -3.25")
@@ -392,7 +395,7 @@ def class_errors(spark: SparkSession, d: str) -> DataFrame:
 def rf_predict(spark: SparkSession, d: str) -> DataFrame:
     """A forest on 70 % of the samples, its predictions of the other 30 %."""
     split = sp.stratified_split(samples(spark, d), "vec_id", "label", 0.3)
-    model = cl.train_forest(split.filter("not is_test"), trees=20, depth=8)
+    model = cl.train_forest(split.filter("not is_test"))
     return cl.predict(split.filter("is_test"), model).select("vec_id", F.col("label").alias("truth"), "prediction")
 
 
@@ -401,7 +404,7 @@ def predict_map(spark: SparkSession, d: str) -> DataFrame:
     """A forest on pixels under labelled points, applied to the whole grid; one JSON array per row."""
     grid = bands(spark, d, "red", "nir", "swir")
     training = sp.extract(points(spark, d), grid, ["red", "nir", "swir"], UNIT)
-    model = cl.train_forest(training, trees=10, depth=6)
+    model = cl.train_forest(training)
     pixels = grid.select("row_idx", "col_idx", F.array(*[F.col(b).cast("double") for b in ("red", "nir", "swir")]).alias("features"))
     return doc.class_map_rows(cl.predict(pixels, model))
 

@@ -318,3 +318,26 @@ def test_requirements(spark):
     assert [p.point_id for p in sp.clip_points(pts, 0.0, 0.0, 1.0, 1.0).collect()] == [1]
     mask = as_dict(r.raster_to_mask(grid_of(spark, [[3, 1, None]], kind="int"), "v", [3]), "v")
     assert mask == {(0, 0): 1, (0, 1): 0, (0, 2): 0}
+
+
+def test_registered_forests_are_full_size(spark, small, monkeypatch):
+    """The queries train what the operators' defaults and the original say: 200 trees, 30 runs."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from gridloom.plans import analysis
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, data):
+        raise Seen(self.getNumTrees(), self.getMaxDepth())
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", fit)
+    for name in ("rf_report", "rf_predict", "predict_map"):
+        with pytest.raises(Seen) as seen:
+            analysis.queries()[name](spark, small)
+        assert seen.value.args == (200, 10)
+    runs = []
+    monkeypatch.setattr(analysis.cl, "repeated_runs", lambda *a, **k: runs.append((a[2], k)))
+    analysis.queries()["rf_report"](spark, small)
+    assert runs == [(30, {})]
