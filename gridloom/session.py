@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import io
 import tempfile
 import uuid
@@ -30,8 +32,9 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for source in sorted(here.rglob("*.py")):
             z.writestr(f"{here.name}/{source.relative_to(here).as_posix()}", source.read_bytes())
-    path = f"{shared_dir(spark)}/gridloom-code-{uuid.uuid4().hex}/gridloom.zip"
-    at, fs = _file_system(spark, path)
+    folder = f"{shared_dir(spark)}/gridloom-code-{uuid.uuid4().hex}"
+    path = f"{folder}/gridloom.zip"
+    _FILES[folder], (at, fs) = _file_system(spark, folder), _file_system(spark, path)
     out = fs.create(at)
     out.write(packed.getvalue())
     out.close()
@@ -42,48 +45,89 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, taken from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a folder of our own
-    is made and recorded in the session, so that later calls agree on it.
+    Where that setting is absent the context's own checkpoint folder counts. Only
+    on one machine (tests) a folder of our own is made and recorded in the
+    session, so that later calls agree on it; on a cluster that is a
+    ``ValueError``, since executors would write to and read from different disks.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("gridloom.scratch.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gridloom.scratch.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("gridloom.scratch.dir", path)
     return path.rstrip("/")
 
 
+#: Paths written by this process -> what tells whether a plan still reads them (None: kept to the end).
+_HELD: dict[str, object] = {}
+_FILES: dict[str, tuple] = {}
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a lost executor re-reads files instead of recomputing,
     and the plan after it starts from a scan. The table is columnar and
     compressed, and is computed exactly once (an RDD checkpoint computes twice).
+    It is deleted by :func:`discard`, by the first :func:`sweep` after no plan
+    reads it any more, or at the end of the process.
     """
     spark = df.sparkSession
+    sweep(spark)
     path = f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    _FILES[path] = _file_system(spark, path)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._gridloom_path = path
+    # every plan over the table, however derived, holds this one object of its scan
+    _HELD[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(back._jdf.queryExecution().analyzed().relation())
     return back
 
 
 def discard(table: DataFrame) -> None:
     """Delete a table made by :func:`cut` that no later plan reads."""
-    _delete(table.sparkSession, table._gridloom_path)
+    _delete(table._gridloom_path)
+
+
+def sweep(spark: SparkSession, collect: bool = False) -> None:
+    """Delete the cut tables that no plan reads any more.
+
+    ``collect`` first has the garbage of Python and of the JVM collected.
+    """
+    if collect:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    for path, seen in list(_HELD.items()):
+        if seen is not None and seen.refersTo(None):
+            _delete(path)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this library has cut in the shared folder."""
-    _delete(spark, f"{shared_dir(spark)}/gridloom")
+    path = f"{shared_dir(spark)}/gridloom"
+    _FILES[path] = _file_system(spark, path)
+    _delete(path)
+    for inner in [p for p in _HELD if p.startswith(f"{path}/")]:
+        del _HELD[inner], _FILES[inner]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at, fs = _file_system(spark, path)
+def _delete(path: str) -> None:
+    _HELD.pop(path, None)
+    at, fs = _FILES.pop(path)
     fs.delete(at, True)
 
 
+@atexit.register
+def _leave() -> None:
+    """What is left at the end of the process."""
+    for path in list(_FILES):
+        try:
+            _delete(path)
+        except Exception:  # the JVM is gone
+            return
+
+
 def _file_system(spark: SparkSession, path: str):
     """Hadoop's path and file system object of a path."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
