@@ -10,8 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUM = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
-_WKT_POINT = rf"(?i)^\s*(?:SRID\s*=\s*[0-9]+\s*;)?\s*POINT\s*(?:ZM|Z|M)?\s*\(\s*({_NUM})[\s,]+({_NUM})(?=[\s,)]|$)"
-_JSON_POINT = rf'(?s)"coordinates"\s*:\s*\[\s*({_NUM})\s*,\s*({_NUM})\s*[\],]'
+#: A point in either notation: x and y are groups 1 and 2, or 3 and 4.
+_POINT = (
+    rf"(?s)^(?:\s*(?i:SRID\s*=\s*[0-9]+\s*;)?\s*(?i:POINT\s*(?:ZM|Z|M)?)\s*\(\s*({_NUM})[\s,]+({_NUM})(?=[\s,)]|$)"
+    rf'|[^"]*\{{.*?"coordinates"\s*:\s*\[\s*({_NUM})\s*,\s*({_NUM})\s*[\],]).*$'
+)
 
 
 def point_xy(geometry: Column) -> tuple[Column, Column]:
@@ -19,14 +22,11 @@ def point_xy(geometry: Column) -> tuple[Column, Column]:
 
     The first two coordinates count, a third is a height. Missing, empty and
     unfinished texts, a single coordinate and coordinates that are not finite
-    give nulls. Expressions only, so parsing stays in generated code.
+    give nulls. One pattern reads both notations and both coordinates: it puts
+    them between marks, and a text that it does not fit stays without marks.
     """
-    json_like = geometry.contains("{")
-    both = []
-    for group in (1, 2):
-        text = F.when(json_like, F.regexp_extract(geometry, _JSON_POINT, group)).otherwise(F.regexp_extract(geometry, _WKT_POINT, group))
-        both.append(F.when(text != "", text).try_cast("double"))
-    x, y = both
+    parts = F.split(F.regexp_replace(geometry, _POINT, "\u0001$1$3\u0001$2$4\u0001"), "\u0001", 4)
+    x, y = (F.when(F.size(parts) == 4, F.try_element_at(parts, F.lit(k))).try_cast("double") for k in (2, 3))
     finite = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
     return F.when(finite, x), F.when(finite, y)
 

@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import parse_polygon, point_xy, triangulate
+from gridloom.session import cut
 
-#: Triangles that one broadcast hierarchy holds at most (48 bytes each, 10 MB).
-BLOCK_TRIANGLES = 200_000
+#: Triangles that one hierarchy holds at most (48 bytes each, 10 MB), and points that one task tests against one.
+BLOCK_TRIANGLES, BLOCK_POINTS = 200_000, 1_000_000
+#: Grid cells that share one hierarchy's worth of triangles.
+CELLS_A_BLOCK = 8
+TRIANGLE = ["ax", "ay", "bx", "by", "cx", "cy"]
 LEAF = 8
 
 
@@ -24,7 +28,9 @@ def read_points(df: DataFrame, id_col: str, geometry_col: str) -> DataFrame:
     several times at one place counts once.
     """
     x, y = point_xy(F.col(geometry_col))
-    return df.select(F.col(id_col).alias("id"), x.alias("x"), y.alias("y")).filter("id is not null and x is not null and y is not null").distinct()
+    # the aggregation stands between parsing and filter, so that the texts are parsed once
+    places = df.filter(F.col(id_col).isNotNull() & F.col(geometry_col).isNotNull()).select(F.col(id_col).alias("id"), F.struct(x.alias("x"), y.alias("y")).alias("p")).distinct()
+    return places.select("id", "p.x", "p.y").filter("x is not null and y is not null")
 
 
 def near_pairs(points: DataFrame, distance: float) -> DataFrame:
@@ -70,7 +76,7 @@ def triangles_of(polys: DataFrame, id_col: str, geometry_col: str) -> DataFrame:
                         ids.append(key)
                         rows.append([c for v in t for c in v])
             flat = np.array(rows, dtype=float).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *(pa.array(flat[:, k]) for k in range(6))], names=["poly", "ax", "ay", "bx", "by", "cx", "cy"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *(pa.array(flat[:, k]) for k in range(6))], names=["poly", *TRIANGLE])
 
     return polys.select(id_col, geometry_col).mapInArrow(run, f"poly {kind}, ax double, ay double, bx double, by double, cx double, cy double")
 
@@ -140,48 +146,56 @@ def _in_triangles(x: np.ndarray, y: np.ndarray, tri: np.ndarray) -> np.ndarray:
 def inside_regions(points: DataFrame, triangles: DataFrame, block: int = BLOCK_TRIANGLES) -> DataFrame:
     """``(id, poly)``: every region that holds each point, once.
 
-    The triangles are counted; blocks of at most ``block`` of them, neighbours
-    in space, are each sent to the executors as one hierarchy, and only points
-    in the block's bounding box are tested against it. A point on a border
-    shared by triangles, pieces or regions belongs to each region once.
+    The triangles are written once and counted. At most ``block`` of them are
+    sent to the executors as one hierarchy, which no point has to be shuffled
+    for. More are distributed: triangles and points go to the cells of a grid,
+    and every cell builds the hierarchy of its own triangles, so the points are
+    scanned once however many triangles there are. A point on a border shared by
+    triangles, pieces or regions belongs to each region once.
     """
-    spark = points.sparkSession
-    total = triangles.count()
-    blocks = max(1, math.ceil(total / block))
-    if blocks == 1:
-        parts = [triangles]
-    else:
-        # strips of nearly equal counts along x; a strip over the bound is cut again by position
-        cuts = triangles.approxQuantile("ax", [k / blocks for k in range(1, blocks)], 0.1 / blocks)
-        edges = [-math.inf, *sorted(set(cuts)), math.inf]
-        parts = [triangles.filter((F.col("ax") >= a) & (F.col("ax") < b)) for a, b in zip(edges, edges[1:])]
+    triangles = cut(triangles, "triangles")
     kind, poly = points.schema["id"].dataType.simpleString(), triangles.schema["poly"].dataType.simpleString()
-    found = None
-    for part in parts:
-        for chunk in _chunks(part, block):
-            tri = np.column_stack([chunk[c] for c in ("ax", "ay", "bx", "by", "cx", "cy")])
-            lo, hi = tri.reshape(-1, 2).min(0), tri.reshape(-1, 2).max(0)
-            near = points.filter(F.col("x").between(float(lo[0]), float(hi[0])) & F.col("y").between(float(lo[1]), float(hi[1])))
-            sent = spark.sparkContext.broadcast((tri, chunk["poly"]))
-            one = near.select("id", "x", "y").mapInArrow(_tester(sent), f"id {kind}, poly {poly}")
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], f"id {kind}, poly {poly}")
-    return found.distinct()
-
-
-def _chunks(part: DataFrame, block: int) -> Iterator[dict]:
-    """Column arrays of at most ``block`` rows each."""
-    held: list[pa.Table] = []
-    if part.count() <= 2 * block:
-        held = [part.toArrow()]
-    else:  # equal coordinates defeat the strips: split by a hash of the whole triangle
-        n = math.ceil(part.count() / block) * 2
-        held = [part.filter(F.pmod(F.xxhash64(*part.columns), F.lit(n)) == k).toArrow() for k in range(n)]
-    for t in held:
-        for at in range(0, t.num_rows, block):
-            piece = t.slice(at, block)
-            yield {c: piece.column(c).to_numpy() for c in piece.column_names}
+    ends = [end for k in "xy" for end in (F.min(F.least(f"a{k}", f"b{k}", f"c{k}")), F.max(F.greatest(f"a{k}", f"b{k}", f"c{k}")))]
+    box = triangles.agg(F.count(F.lit(1)), *ends).first()
+    total, left, right, bottom, top = box
+    if not total:
+        return points.sparkSession.createDataFrame([], f"id {kind}, poly {poly}")
+    near = points.select("id", "x", "y").filter(F.col("x").between(left, right) & F.col("y").between(bottom, top))
+    if total <= block:
+        chunk = triangles.toArrow()  # at most ``block`` rows
+        tri = np.column_stack([chunk.column(c).to_numpy() for c in TRIANGLE])
+        sent = points.sparkSession.sparkContext.broadcast((tri, chunk.column("poly").to_numpy()))
+        return near.mapInArrow(_tester(sent), f"id {kind}, poly {poly}").distinct()
+    across = math.ceil(math.sqrt(CELLS_A_BLOCK * total / block))
+    return _inside_by_cells(near, triangles, (left, bottom), ((right - left) / across or 1.0, (top - bottom) / across or 1.0), across, block, f"id {kind}, poly {poly}").distinct()
+
+
+def _inside_by_cells(points: DataFrame, triangles: DataFrame, origin: tuple, side: tuple, across: int, block: int, schema: str) -> DataFrame:
+    """Points and triangles meet in the cells of a grid of ``across`` squared cells.
+
+    A triangle goes to every cell that its bounding box covers. The triangles of
+    a crowded cell are dealt to several hierarchies, its points to several tasks,
+    so that neither a hot place nor a hot region is gathered in one task.
+    """
+    at = lambda c, k: F.greatest(F.least(F.floor((c - origin[k]) / side[k]), F.lit(across - 1)), F.lit(0)).cast("int")
+    span = lambda k: F.sequence(at(F.least(*[v + "xy"[k] for v in "abc"]), k), at(F.greatest(*[v + "xy"[k] for v in "abc"]), k))
+    spread = triangles.withColumn("gx", F.explode(span(0))).withColumn("gy", F.explode(span(1)))
+    placed = points.withColumns({"gx": at(F.col("x"), 0), "gy": at(F.col("y"), 1)})
+    # at most across squared rows
+    count = lambda df, name: df.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias(name))
+    shares = cut(count(spread, "nt").join(count(placed, "np"), ["gx", "gy"]).select("gx", "gy", F.ceil(F.col("nt") / block).cast("int").alias("t"), F.ceil(F.col("np") / BLOCK_POINTS).cast("int").alias("p")), "cells")
+    own = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["gx", "gy", "ti", "pi"]
+    left = placed.join(shares, ["gx", "gy"]).withColumn("pi", own("p", "id")).withColumn("ti", each("t")).select(*keys, "id", "x", "y")
+    right = spread.join(shares, ["gx", "gy"]).withColumn("ti", own("t", "poly", *TRIANGLE)).withColumn("pi", each("p")).select(*keys, "poly", *TRIANGLE)
+
+    def test(dots: pa.Table, shapes: pa.Table) -> pa.Table:
+        tri = np.column_stack([shapes.column(c).to_numpy() for c in TRIANGLE]) if shapes.num_rows else np.zeros((0, 6))
+        p, t = TriangleTree(tri).hits(dots.column("x").to_numpy(), dots.column("y").to_numpy())
+        return pa.table({"id": dots.column("id").take(pa.array(p)), "poly": shapes.column("poly").take(pa.array(t))})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(test, schema)
 
 
 def _tester(sent):

@@ -7,25 +7,38 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.grid import total_bounds
 from gridloom.operators.proximity import inside_regions, near_pairs, read_points, triangles_of
-from gridloom.session import table
+from gridloom.session import cut, table
 
 #: Metres.
 NEAR = 25.0
 
 
-def p5_near(spark: SparkSession, d: str) -> DataFrame:
-    return near_pairs(read_points(table(spark, d, "gdf_points"), "point_id", "geometry"), NEAR)
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return read_points(table(spark, d, "gdf_points"), "point_id", "geometry")
 
 
-def p5_inside(spark: SparkSession, d: str) -> DataFrame:
-    points = read_points(table(spark, d, "gdf_points"), "point_id", "geometry")
+def _near(points: DataFrame) -> DataFrame:
+    return near_pairs(points, NEAR)
+
+
+def _inside(spark: SparkSession, d: str, points: DataFrame) -> DataFrame:
     found = inside_regions(points, triangles_of(table(spark, d, "overlap_polys"), "poly_id", "geometry"))
     return found.select(F.col("id").alias("point_id"), F.col("poly").alias("poly_id"))
 
 
+def p5_near(spark: SparkSession, d: str) -> DataFrame:
+    return _near(cut(_points(spark, d), "points"))
+
+
+def p5_inside(spark: SparkSession, d: str) -> DataFrame:
+    return _inside(spark, d, _points(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p5_near(spark, d).select(F.lit("near").alias("relation"), "first_id", "second_id")
-    inside = p5_inside(spark, d).select(F.lit("inside").alias("relation"), F.col("point_id").alias("first_id"), F.col("poly_id").alias("second_id"))
+    """Both relations, over points that are parsed once."""
+    points = cut(_points(spark, d), "points")
+    near = _near(points).select(F.lit("near").alias("relation"), "first_id", "second_id")
+    inside = _inside(spark, d, points).select(F.lit("inside").alias("relation"), F.col("point_id").alias("first_id"), F.col("poly_id").alias("second_id"))
     return near.unionByName(inside)
 
 

@@ -30,7 +30,7 @@ def test_tables_go_when_no_plan_reads_them(spark):
     numbered = number_rows(spark.range(20).selectExpr("id as k", "0 as id", "'x' as _part2"), "k", "n")
     derived = numbered.filter("n > 5").select("k", "n")
     del numbered
-    assert len(swept(spark, len(before))) == len(before) + 1
+    assert len(swept(spark, len(before) + 1)) == len(before) + 1
     assert derived.count() == 15
     del derived
     assert swept(spark, len(before)) == before
