@@ -22,7 +22,8 @@ SAMPLES, POINTS = 2000, 500
 
 def p1_subset(spark: SparkSession, d: str) -> DataFrame:
     """A varied subset of the samples by their bands and label, and one of the points by class and place."""
-    samples = table(spark, d, "extractor_samples").filter(~F.coalesce(F.array_contains("x", F.lit(density.MASK)), F.lit(False)))
+    # a sample with some bands masked is a kind of its own; one with all bands masked shows nothing
+    samples = table(spark, d, "extractor_samples").filter(~F.coalesce(F.forall("x", lambda v: v == density.MASK), F.lit(False)))
     first = varied_subset(samples, "sample_id", F.col("x"), F.col("y"), BANDS, SAMPLES)
     source = table(spark, d, "gdf_points")
     classes = cal.resolve_classes(source, table(spark, d, "labels_map"), "point_id", "id", "classname").groupBy("id").agg(F.min("category").alias("category"))

@@ -1,13 +1,17 @@
 """A varied subset of given size by a cluster-feature tree (problem 1).
 
-Each task condenses its vectors into a tree of cluster features (count, sum and
-sum of squares); a leaf entry absorbs what lies within a threshold of its
-centre, and the threshold grows when a task holds more entries than its bound.
-Partition summaries are entries again and merge the same way. The final entries
-are agglomerated by Ward linkage within their class and all merges, over all
-classes, are cut at ``size`` groups; the record nearest each group's centre is
-the subset. An entry counts once however many records it stands for, so a large
-group of nearly equal records gives one member and a rare kind one too.
+Each task condenses its distinct vectors into a tree of cluster features (count,
+sum and sum of squares); a leaf entry absorbs a feature whose members lie within
+a threshold of its centre in the root mean square, which distance and sum of
+squares tell, and the threshold grows when a task holds more entries than its
+bound. Partition summaries are entries again and merge the same way. The final
+entries are agglomerated by Ward linkage within their class and all merges, over
+all classes, are cut at ``size`` groups; the record nearest each group's centre
+is the subset. An entry counts once however many records it stands for, so a
+large group of nearly equal records gives one member and a rare kind one too.
+
+Which task condenses a vector, and the order in which vectors and summaries are
+inserted, follow from their content, so the rows may come in any order.
 """
 
 from __future__ import annotations
@@ -19,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import cut
+from gridloom.session import cut, discard
 
 #: Leaf entries of a class in one task, of a class in the end, and of a node.
 TASK_ENTRIES, FINAL_ENTRIES, BRANCHING = 1024, 2048, 48
-#: Records that can be chosen, and group centres that one broadcast carries at about the most.
-MAX_SIZE = 100_000
+#: Features that are inserted at once.
+STEP = 1024
+#: Group centres that one broadcast carries at about the most; more become more blocks.
+BLOCK_GROUPS = 100_000
 #: Partial summaries that one merging task takes.
 FAN_IN = 16
 
-_ENTRY = "class string, n double, ss double, ls array<double>"
+_ENTRY = "class string, task int, n double, ss double, ls array<double>"
 
 
 class FeatureTree:
@@ -42,29 +48,26 @@ class FeatureTree:
 
     def insert(self, x: np.ndarray, n: np.ndarray, ss: np.ndarray, ls: np.ndarray) -> None:
         """Insert features with centres ``x``; a plain vector has n 1 and ls x."""
-        for at in range(0, len(x), 4096):
-            part = slice(at, at + 4096)
+        for at in range(0, len(x), STEP):
+            part = slice(at, at + STEP)
             self._insert(x[part], n[part], ss[part], ls[part])
             while len(self.n) > self.bound:
                 self._rebuild()
 
     def _insert(self, x, n, ss, ls) -> None:
+        bound = self.threshold**2
+        # mean square of the members' distance from their own centre, exact zeros for single vectors
+        own = np.where(n > 1, np.maximum(ss / n - (x**2).sum(1), 0), 0)
         near, apart = self._descend(x)
-        fits = apart <= self.threshold**2 + 1e-9
+        fits = apart + own <= bound + 1e-9
         self._absorb(near[fits], n[fits], ss[fits], ls[fits])
         rest = np.flatnonzero(~fits)
-        fresh, owner = [], np.full(len(rest), -1)
-        left = np.arange(len(rest))
-        while len(left):  # leaders among what no entry takes
-            lead = rest[left[0]]
-            close = ((x[rest[left]] - x[lead]) ** 2).sum(1) <= self.threshold**2 + 1e-9
-            owner[left[close]] = len(fresh)
-            fresh.append(lead)
-            left = left[~close]
-        if fresh:
-            base = len(self.n)
-            self._grow(x[np.array(fresh)])
-            self._absorb(base + owner, n[rest], ss[rest], ls[rest])
+        if not len(rest):
+            return
+        fresh, owner = _leaders(x[rest], own[rest], bound)
+        base = len(self.n)
+        self._grow(x[rest[fresh]])
+        self._absorb(base + owner, n[rest], ss[rest], ls[rest])
 
     def _descend(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest entry by way of the nearest node, and its squared distance."""
@@ -124,8 +127,30 @@ class FeatureTree:
         threshold = self.threshold
         self.__init__(self.dims, self.bound)
         self.threshold = threshold
-        for at in range(0, len(old[0]), 4096):
-            self._insert(*(o[at : at + 4096] for o in old))
+        for at in range(0, len(old[0]), STEP):
+            self._insert(*(o[at : at + STEP] for o in old))
+
+
+def _leaders(x: np.ndarray, own: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Leaders among features that no entry takes, in order, and the leader that each one joins."""
+    if bound == 0:
+        order = np.lexsort(x.T)
+        new = np.r_[True, (np.diff(x[order], axis=0) != 0).any(1)]
+        group = np.empty(len(x), dtype=np.int64)
+        group[order] = np.cumsum(new) - 1
+        first = np.full(group.max() + 1, len(x))
+        np.minimum.at(first, group, np.arange(len(x)))
+        rank = np.empty(len(first), dtype=np.int64)
+        rank[np.argsort(first)] = np.arange(len(first))
+        return np.sort(first), rank[group]
+    close = _square(x, x) + own[None] <= bound
+    fresh, owner = [], np.full(len(x), -1)
+    for i in range(len(x)):
+        if owner[i] < 0:
+            owner[close[i] & (owner < 0)] = len(fresh)
+            owner[i] = len(fresh)
+            fresh.append(i)
+    return np.array(fresh), owner
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -209,27 +234,23 @@ def _by_class(classes: np.ndarray) -> dict:
     return {key: np.array(at[key]) for key in sorted(at, key=str)}
 
 
-def _condense(held: dict, table, dims: int, bound: int) -> None:
-    """Insert rows of entries into the trees of their classes."""
-    classes = table.column("class").to_pylist()
-    n, ss = table.column("n").to_numpy(), table.column("ss").to_numpy()
-    ls_column = table.column("ls")
-    ls_column = ls_column.combine_chunks() if isinstance(ls_column, pa.ChunkedArray) else ls_column
-    ls = np.asarray(ls_column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, dims)
-    _insert(held, np.array(classes, dtype=object), ls / n[:, None], n, ss, ls, dims, bound)
+def _vectors(table: pa.Table, name: str, dims: int) -> np.ndarray:
+    return np.asarray(table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, dims)
 
 
-def _insert(held, classes, x, n, ss, ls, dims, bound) -> None:
-    for key, own in _by_class(classes).items():
-        held.setdefault(key, FeatureTree(dims, bound)).insert(x[own], n[own], ss[own], ls[own])
+def _merged(table: pa.Table, dims: int, bound: int) -> FeatureTree:
+    """The tree over a table of entries, inserted in the order of their content."""
+    n, ss, ls = table.column("n").to_numpy(), table.column("ss").to_numpy(), _vectors(table, "ls", dims)
+    order = np.lexsort((ss, *ls.T[::-1], -n))
+    n, ss, ls = n[order], ss[order], ls[order]
+    tree = FeatureTree(dims, bound)
+    tree.insert(ls / n[:, None], n, ss, ls)
+    return tree
 
 
-def _rows(held: dict, dims: int) -> dict:
-    keys = [k for k, t in held.items() for _ in range(len(t.n))]
-    ls = np.vstack([t.ls for t in held.values()]) if held else np.zeros((0, dims))
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ls) + 1, dtype=np.int32) * dims), pa.array(ls.ravel()))
-    cat = lambda name: np.concatenate([getattr(t, name) for t in held.values()]) if held else np.zeros(0)
-    return {"class": pa.array(keys, pa.string()), "n": pa.array(cat("n")), "ss": pa.array(cat("ss")), "ls": lists}
+def _entries(key: str | None, task: int, tree: FeatureTree) -> pa.Table:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tree.n) + 1, dtype=np.int32) * tree.dims), pa.array(tree.ls.ravel()))
+    return pa.table({"class": pa.array([key] * len(tree.n), pa.string()), "task": pa.array(np.full(len(tree.n), task, dtype=np.int32)), "n": pa.array(tree.n), "ss": pa.array(tree.ss), "ls": lists})
 
 
 def varied_subset(df: DataFrame, id_col: str, vector: Column, class_of: Column, dims: int, size: int) -> DataFrame:
@@ -242,46 +263,43 @@ def varied_subset(df: DataFrame, id_col: str, vector: Column, class_of: Column,
     give fewer rows, an empty table none; if there are more classes than
     ``size`` every class still keeps one.
 
-    One pass condenses in place and shuffles bounded summaries, one pass finds
-    the nearest records and shuffles one row per task and group.
+    Equal vectors are counted before anything is condensed, so no group of
+    copies meets in one task. The distinct vectors of a class are dealt to tasks
+    by a hash, and bounded summaries are shuffled from there on; one more pass
+    finds the nearest records and shuffles one row per task and group. A size
+    that one linkage per class could not give splits the classes by quantiles
+    of the widest axis into parts with a linkage of their own.
     """
-    if size > MAX_SIZE:
-        raise ValueError(f"at most {MAX_SIZE} records can be chosen")
     fine = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
     rows = df.select(F.col(id_col).alias("id"), vector.cast("array<double>").alias("x"), class_of.cast("string").alias("class"))
     rows = rows.filter(F.col("id").isNotNull() & (F.size("x") == dims) & fine)
-
-    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        for batch in batches:
-            x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, dims)
-            classes = np.array(batch.column(1).to_pylist(), dtype=object)
-            _insert(held, classes, x, np.ones(len(x)), (x**2).sum(1), x, dims, TASK_ENTRIES)
-        out = _rows(held, dims)
-        yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-
-    def merge(bound: int):
-        def run(table: pa.Table) -> pa.Table:
-            held: dict = {}
-            _condense(held, table, dims, bound)
-            return pa.table(_rows(held, dims))
-
-        return run
-
-    tasks = df.select(id_col).rdd.getNumPartitions()
-    entries = rows.select("x", "class").mapInArrow(summarize, _ENTRY)
-    while tasks > 1:  # a tree of merges, each over a bounded number of summaries of a class
+    parts = -(-size // FINAL_ENTRIES)
+    if parts > 1:
+        rows = _in_parts(rows, dims, parts)
+
+    def condense(table: pa.Table) -> pa.Table:
+        x, n = _vectors(table, "x", dims), table.column("n").to_numpy().astype(float)
+        order = np.lexsort((*x.T[::-1], table.column("h").to_numpy()))  # by hash: like a random order, but always the same
+        x, n = x[order], n[order]
+        tree = FeatureTree(dims, TASK_ENTRIES)
+        tree.insert(x, n, n * (x**2).sum(1), x * n[:, None])
+        return _entries(table.column("class")[0].as_py(), table.column("task")[0].as_py(), tree)
+
+    def merge(table: pa.Table) -> pa.Table:
+        return _entries(table.column("class")[0].as_py(), table.column("up")[0].as_py(), _merged(table, dims, FINAL_ENTRIES))
+
+    tasks = max(df.select(id_col).rdd.getNumPartitions(), 1)
+    distinct = rows.groupBy("class", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("x")).withColumn("task", F.pmod("h", F.lit(tasks)).cast("int"))
+    entries = distinct.groupBy("class", "task").applyInArrow(condense, _ENTRY)
+    while tasks > 1:  # a tree of merges, each over at most FAN_IN summaries of a class
         tasks = -(-tasks // FAN_IN)
-        salt = F.pmod(F.spark_partition_id(), F.lit(tasks)).alias("salt")
-        entries = entries.groupBy("class", salt).applyInArrow(merge(FINAL_ENTRIES), _ENTRY)
+        entries = entries.withColumn("up", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("class", "up").applyInArrow(merge, _ENTRY)
 
     def tree(table: pa.Table) -> pa.Table:
-        held: dict = {}
-        _condense(held, table, dims, FINAL_ENTRIES)
-        centre = next(iter(held.values())).centre
+        centre = _merged(table, dims, FINAL_ENTRIES).centre
         steps = [*ward(centre), (float("inf"), 0, 0)]
         return pa.table({
-            "class": pa.array([next(iter(held))] * len(centre), pa.string()), "i": pa.array(np.arange(len(centre), dtype=np.int32)), "centre": pa.array(centre.tolist(), pa.list_(pa.float64())),
+            "class": pa.array([table.column("class")[0].as_py()] * len(centre), pa.string()), "i": pa.array(np.arange(len(centre), dtype=np.int32)), "centre": pa.array(centre.tolist(), pa.list_(pa.float64())),
             "h": pa.array([s[0] for s in steps]), "a": pa.array([s[1] for s in steps], pa.int32()), "b": pa.array([s[2] for s in steps], pa.int32()),
         })
 
@@ -294,17 +312,34 @@ def varied_subset(df: DataFrame, id_col: str, vector: Column, class_of: Column,
         return pa.table({"class": pa.array([table.column("class")[0].as_py()] * len(centres), pa.string()), "centre": pa.array(centres.tolist(), pa.list_(pa.float64()))})
 
     groups = cut(trees.groupBy("class").applyInArrow(groups_of, "class string, centre array<double>"), "p1-groups")
+    discard(trees)
     total = groups.count()
-    blocks = 1 if total <= MAX_SIZE else -(-2 * total // MAX_SIZE)  # whole classes, dealt by hash
+    blocks = 1 if total <= BLOCK_GROUPS else -(-2 * total // BLOCK_GROUPS)  # whole classes, dealt by hash
     near = None
     for block in range(blocks):
         one = _nearest(rows, groups.filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == block), block, dims, df.schema[id_col].dataType)
         near = one if near is None else near.unionByName(one)
+    discard(groups)
     one = near.groupBy("block", "g").agg(F.sum("n").alias("group_size"), F.min(F.struct("distance", "id", "class")).alias("m"))
-    picked = one.select(F.col("m.id").alias("id"), F.col("m.class").alias("class"), "group_size", F.round("m.distance", 6).alias("distance"))
+    own = F.col("m.class") if parts == 1 else _without_part(F.col("m.class"))
+    picked = one.select(F.col("m.id").alias("id"), own.alias("class"), "group_size", F.round("m.distance", 6).alias("distance"))
     return picked.groupBy("id").agg(F.min("class").alias("class"), F.sum("group_size").alias("group_size"), F.min("distance").alias("distance"))
 
 
+def _in_parts(rows: DataFrame, dims: int, parts: int) -> DataFrame:
+    """Rows whose class also names the part, by quantiles of the axis that spreads most."""
+    spread = rows.agg(*[F.stddev_pop(F.element_at("x", k + 1)) for k in range(dims)]).first()
+    axis = F.element_at("x", 1 + max(range(dims), key=lambda k: spread[k] or 0.0))
+    edges = sorted(set(rows.select(axis.alias("v")).approxQuantile("v", [k / parts for k in range(1, parts)], 0.25 / parts)))
+    part = F.aggregate(F.array(*[F.lit(e) for e in edges]), F.lit(0), lambda n, e: n + F.when(axis >= e, 1).otherwise(0)) if edges else F.lit(0)
+    return rows.withColumn("class", F.concat(part.cast("string"), F.lit(":"), F.coalesce(F.concat(F.lit("="), "class"), F.lit(""))))
+
+
+def _without_part(name: Column) -> Column:
+    own = F.substr(name, F.instr(name, F.lit(":")) + 1)
+    return F.when(own != "", F.substr(own, F.lit(2)))
+
+
 def _nearest(rows: DataFrame, groups: DataFrame, block: int, dims: int, id_type) -> DataFrame:
     """``(block, g, n, distance, id, class)``: each task's record nearest each group of one block, and its number of records."""
     from pyspark.sql.pandas.types import to_arrow_type
