@@ -17,18 +17,28 @@ _POINT = (
 )
 
 
-def point_xy(geometry: Column) -> tuple[Column, Column]:
-    """x and y of a point written as (E)WKT or as GeoJSON, both null if unreadable.
+def point_of(geometry: Column) -> Column:
+    """The point written as (E)WKT or as GeoJSON: a struct of x and y, both null if unreadable.
 
     The first two coordinates count, a third is a height. Missing, empty and
     unfinished texts, a single coordinate and coordinates that are not finite
     give nulls. One pattern reads both notations and both coordinates: it puts
     them between marks, and a text that it does not fit stays without marks.
     """
-    parts = F.split(F.regexp_replace(geometry, _POINT, "\u0001$1$3\u0001$2$4\u0001"), "\u0001", 4)
-    x, y = (F.when(F.size(parts) == 4, F.try_element_at(parts, F.lit(k))).try_cast("double") for k in (2, 3))
-    finite = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
-    return F.when(finite, x), F.when(finite, y)
+    marked = F.regexp_replace(geometry, _POINT, "\u0001$1$3\u0001$2$4\u0001")
+
+    def read(parts: Column) -> Column:
+        x, y = (F.when(F.size(parts) == 4, F.try_element_at(parts, F.lit(k))).try_cast("double") for k in (2, 3))
+        finite = (F.abs(x) < float("inf")) & (F.abs(y) < float("inf"))
+        return F.struct(F.when(finite, x).alias("x"), F.when(finite, y).alias("y"))
+
+    # the parts are bound to a variable: the pattern runs once per text
+    return F.transform(F.array(F.split(marked, "\u0001", 4)), read)[0]
+
+
+def point_xy(geometry: Column) -> tuple[Column, Column]:
+    """x and y of :func:`point_of`."""
+    return point_of(geometry)["x"], point_of(geometry)["y"]
 
 
 def _numbers(text: str) -> list[tuple[float, float]]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.geometry import parse_polygon, point_xy, triangulate
+from gridloom.functions.geometry import parse_polygon, point_of, triangulate
 from gridloom.session import cut
 
 #: Triangles that one hierarchy holds at most (48 bytes each, 10 MB), and points that one task tests against one.
@@ -27,9 +27,8 @@ def read_points(df: DataFrame, id_col: str, geometry_col: str) -> DataFrame:
     Rows with a null id or no readable point are left out; a point delivered
     several times at one place counts once.
     """
-    x, y = point_xy(F.col(geometry_col))
     # the aggregation stands between parsing and filter, so that the texts are parsed once
-    places = df.filter(F.col(id_col).isNotNull() & F.col(geometry_col).isNotNull()).select(F.col(id_col).alias("id"), F.struct(x.alias("x"), y.alias("y")).alias("p")).distinct()
+    places = df.filter(F.col(id_col).isNotNull() & F.col(geometry_col).isNotNull()).select(F.col(id_col).alias("id"), point_of(F.col(geometry_col)).alias("p")).distinct()
     return places.select("id", "p.x", "p.y").filter("x is not null and y is not null")
 
 
