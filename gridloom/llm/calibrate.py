@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import cut
+
 #: Newton iterations and the largest remaining gradient.
 ITERATIONS, TOLERANCE = 100, 1e-12
-#: Categories of one target set that the solver takes (a vector on one task).
-MAX_CATEGORIES = 100_000
 #: Records of one set that one task of the pivotal method walks through.
 PIVOT_RECORDS = 200_000
+#: Records beyond those wanted that thinning aims to leave: so many standard deviations, and so many.
+SPARE = (6.0, 20.0)
 
 
 def tilt(counts: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -92,37 +94,51 @@ def whole(expected: np.ndarray) -> np.ndarray:
     return base
 
 
-_PLAN = "target_set string, category string, share double, min_count bigint, sample_size bigint, available bigint, take bigint, gap bigint"
+_PLAN = "target_set string, category string, share double, min_count bigint, sample_size bigint, available bigint, take bigint, lack bigint, gap bigint, excess bigint"
 
 
 def plan(targets: DataFrame, records: DataFrame) -> DataFrame:
-    """One row per target with what is available, taken and missing.
+    """One row per target with what is available, taken and missed.
 
     ``targets``: target_set, category, share, min_count, sample_size;
     ``records``: category and id, one or more rows per record. ``available``
-    counts distinct ids, ``take`` is the calibrated number of records, ``gap``
-    the records that lack for the larger of ``share * sample_size`` and
-    ``min_count`` (0 if met). Null shares, counts and sizes count as 0; records
-    without category or id are not available; with an empty table of records
-    every positive target is a gap; repeated targets count once.
-
-    The records are reduced to counts per category before anything is shuffled
-    to the solver, which sees one row per target.
+    counts distinct ids, ``take`` is the calibrated number of records. ``lack``
+    is how many records there would have to be more for ``share * sample_size``
+    and ``min_count``; ``gap`` is how many more the sample would have to hold for
+    them, and ``excess`` how many it holds beyond the share; each is 0 if met.
+    The sample misses a target that lacks no record where the minimum counts of
+    others leave no room, and exceeds one whose minimum count is above its share
+    or that fills up for others; less than one record either way is rounding.
+
+    Null shares, counts and sizes count as 0; records without category or id are
+    not available; with an empty table of records every positive target is a
+    gap; repeated targets count once. The records are reduced to counts per
+    category before anything is shuffled to the solver, which sees one row per
+    target: a set's targets, however many records they stand for, are solved
+    together in one task.
     """
-    counts = records.filter("category is not null and id is not null").distinct().groupBy("category").agg(F.count(F.lit(1)).alias("available"))
+    return _solved(targets, _available(records))
+
+
+def _available(records: DataFrame) -> DataFrame:
+    return records.select("category", "id").filter("category is not null and id is not null").distinct()
+
+
+def _solved(targets: DataFrame, keep: DataFrame) -> DataFrame:
+    counts = keep.groupBy("category").agg(F.count(F.lit(1)).alias("available"))
     wanted = targets.select("target_set", "category", F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("min_count", F.lit(0)).cast("long").alias("min_count"), F.coalesce("sample_size", F.lit(0)).cast("long").alias("sample_size")).distinct()
     full = wanted.join(counts, "category", "left").select("target_set", "category", "share", "min_count", "sample_size", F.coalesce("available", F.lit(0)).alias("available"))
     columns = [c.split(" ")[0] for c in _PLAN.split(", ")]
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_CATEGORIES:
-            raise ValueError(f"{len(pdf)} categories in target set {key[0]}; at most {MAX_CATEGORIES} are taken")
         pdf = pdf.sort_values("category", kind="stable").reset_index(drop=True)
         available, share, floor = (pdf[c].to_numpy(float) for c in ("available", "share", "min_count"))
         size = float(pdf["sample_size"].max())
-        pdf["take"] = whole(allocate(available, share, floor, int(size)))
-        lack = np.maximum(share * pdf["sample_size"].to_numpy(float), floor) - available
-        pdf["gap"] = np.ceil(np.maximum(lack, 0)).astype("int64")
+        pdf["take"] = take = whole(allocate(available, share, floor, int(size)))
+        wish = share * pdf["sample_size"].to_numpy(float)
+        pdf["lack"] = np.ceil(np.maximum(np.maximum(wish, floor) - available, 0)).astype("int64")
+        pdf["gap"] = np.floor(np.maximum(np.maximum(wish, floor) - take, 0) + 1e-9).astype("int64")
+        pdf["excess"] = np.floor(np.maximum(take - wish, 0) + 1e-9).astype("int64")
         return pdf[columns]
 
     return full.groupBy("target_set").applyInPandas(solve, _PLAN)
@@ -170,16 +186,32 @@ def draw(targets: DataFrame, records: DataFrame, seed: int = 42) -> DataFrame:
     """``(target_set, category, id)``: a sample for every target set.
 
     Within a category every record has the calibrated probability
-    ``take / available``. The records of a category are spread by a hash of
-    their id over blocks of bounded size; the pivotal method runs in every
-    block and once more over the one undecided unit of each, so every category
-    yields exactly ``take`` records and a hot category never sits in one task.
+    ``take / available``: those whose hash lies below a limit a little above it
+    are left, so that few of a hot category's records are shuffled, and of them
+    every one has the same probability again. They are spread by another hash
+    over blocks of bounded size; the pivotal method runs in every block and once
+    more over the one undecided unit of each, so every category yields exactly
+    ``take`` records and a hot category never sits in one task.
     A record enters a target set at most once per category; nulls are as in
     :func:`plan`.
     """
-    keep = records.filter("category is not null and id is not null").distinct()
-    made = plan(targets, records).filter("take > 0").select("target_set", "category", (F.col("take") / F.col("available")).alias("p"), F.ceil(F.col("available") / PIVOT_RECORDS).cast("int").alias("blocks"))
-    units = keep.join(made, "category").withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int"))
+    keep = cut(_available(records), "p2-records")
+    made = _solved(targets, keep).filter("take > 0").select("target_set", "category", "take", "available")
+    # records are thinned first: of those whose hash is below a limit there are enough but for a chance of some 1e-9 a target
+    limit = F.least((F.col("take") + SPARE[0] * F.sqrt("take") + SPARE[1]) / F.col("available"), F.lit(1.0))
+    chance = F.shiftrightunsigned(F.xxhash64("id", "target_set", F.lit(seed + 1)), 11) / F.lit(float(1 << 53))
+    made = cut(made.withColumn("limit", limit), "p2-plan")
+    thin = keep.join(made, "category").withColumn("low", chance).filter("low < limit").select("target_set", "category", "id", "take")
+    thin = cut(thin, "p2-thin")
+    met = thin.groupBy("target_set", "category").agg(F.count(F.lit(1)).alias("n"))
+    # a target for which chance left too few is drawn from all its records
+    short = cut(made.join(met, ["target_set", "category"], "left").filter("coalesce(n, 0) < take").select("target_set", "category", "take", "available"), "p2-short")
+    sizes = met.join(short.select("target_set", "category"), ["target_set", "category"], "left_anti").unionByName(short.select("target_set", "category", F.col("available").alias("n")))
+    units = thin.join(short.select("target_set", "category"), ["target_set", "category"], "left_anti")
+    if not short.isEmpty():
+        units = units.unionByName(keep.join(short, "category").select("target_set", "category", "id", "take"))
+    units = units.join(sizes, ["target_set", "category"]).withColumns({"p": F.col("take") / F.col("n"), "blocks": F.ceil(F.col("n") / PIVOT_RECORDS).cast("int")})
+    units = units.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int"))
     kind = records.schema["id"].dataType.simpleString()
     columns = ["target_set", "category", "id", "p"]
     schema = f"target_set string, category string, id {kind}, p double"

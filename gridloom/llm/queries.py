@@ -43,14 +43,15 @@ def _categories(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
 
 
 def p2_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Per target: records available, records taken, records missing."""
+    """Per target: records available and taken, and by how many it is missed."""
     targets = table(spark, d, "sample_targets")
     parts = [cal.plan(targets.filter(F.col("drawn_from") == name), records) for name, records in _categories(spark, d)]
     return parts[0].unionByName(parts[1])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_plan(spark, d).filter("gap > 0").select("target_set", "category").distinct()
+    """Targets for which there are too few records; :func:`p2_plan` also tells those that the sample misses otherwise."""
+    return p2_plan(spark, d).filter("lack > 0").select("target_set", "category").distinct()
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:

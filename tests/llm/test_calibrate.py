@@ -51,7 +51,9 @@ def test_plan_and_draw(spark):
         "target_set string, category string, share double, min_count long, sample_size long",
     )
     plan = {(x.target_set, x.category): x for x in cal.plan(t, r).collect()}
+    assert {k: v.lack for k, v in plan.items()} == {("s", "a"): 0, ("s", "b"): 0, ("s", "c"): 7, ("s", "none"): 10, ("z", None): 5, ("z", "b"): 0}
     assert {k: v.gap for k, v in plan.items()} == {("s", "a"): 0, ("s", "b"): 0, ("s", "c"): 7, ("s", "none"): 10, ("z", None): 5, ("z", "b"): 0}
+    assert plan["s", "a"].excess + plan["s", "b"].excess == 17 and plan["z", "b"].excess == plan["z", "b"].take
     assert sum(v.take for k, v in plan.items() if k[0] == "s") == 100 and plan["s", "c"].take == 3 and plan["z", "b"].take >= 5
     drawn = cal.draw(t, r).groupBy("target_set", "category").agg(F.count("id").alias("n"), F.count_distinct("id").alias("m")).collect()
     assert {(x.target_set, x.category): x.n for x in drawn} == {k: v.take for k, v in plan.items() if v.take}
@@ -59,6 +61,26 @@ def test_plan_and_draw(spark):
     assert cal.draw(t, r.limit(0)).count() == 0 and cal.plan(t.limit(0), r).count() == 0
 
 
+def test_targets_missed_without_lack(spark):
+    """Minimum counts that leave no room for a share: every share that the sample misses is told."""
+    t = spark.createDataFrame([("s", "a", 0.8, 0, 100), ("s", "b", 0.1, 40, 100), ("s", "c", 0.1, 40, 100)], "target_set string, category string, share double, min_count long, sample_size long")
+    got = {x.category: (x.take, x.lack, x.gap, x.excess) for x in cal.plan(t, records(spark, {"a": 1000, "b": 1000, "c": 1000})).collect()}
+    assert got == {"a": (20, 0, 60, 0), "b": (40, 0, 0, 30), "c": (40, 0, 0, 30)}
+
+
+@pytest.mark.parametrize("spare", [(6.0, 20.0), (-1.0, -3.0)])
+def test_thinning(spark, monkeypatch, spare):
+    """A hot category is thinned, and drawn from all its records should chance leave too few."""
+    monkeypatch.setattr(cal, "SPARE", spare)
+    t = spark.createDataFrame([(f"s{k}", c, x, 0, 200) for k in range(2) for c, x in (("a", 0.9), ("b", 0.1))], "target_set string, category string, share double, min_count long, sample_size long")
+    drawn = cal.draw(t, records(spark, {"a": 20_000, "b": 30})).collect()
+    ids = {k: {x.id for x in drawn if x.target_set == k} for k in ("s0", "s1")}
+    assert {k: len(v) for k, v in ids.items()} == {"s0": 200, "s1": 200} and len(drawn) == 400
+    assert len({i for i in ids["s0"] & ids["s1"] if i.startswith("a")}) < 20
+    numbers = [int(i[1:]) for i in ids["s0"] if i.startswith("a")]
+    assert 7000 < np.mean(numbers) < 13_000
+
+
 def test_draw_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(cal, "PIVOT_RECORDS", 50)
     t = spark.createDataFrame([("s", "a", 0.9, 0, 77), ("s", "b", 0.1, 0, 77)], "target_set string, category string, share double, min_count long, sample_size long")
