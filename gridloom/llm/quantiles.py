@@ -182,45 +182,43 @@ def _by_group(batch: pa.RecordBatch, names: list[str], x: pa.Array, dims: int):
     return matrix, groups, order, [*starts.tolist(), len(order)]
 
 
-def combine(parts: DataFrame, keys: list[str], k: int = BUFFER, tasks: int = 1) -> DataFrame:
+def combine(parts: DataFrame, keys: list[str], k: int = BUFFER, tasks: int | None = None) -> DataFrame:
     """Merge summaries (of tasks, files or days) to one per ``keys`` and band.
 
     Columns of ``parts`` besides ``keys``, band and the summary are dropped.
-    ``tasks`` is the number of tasks that made ``parts``: the merge is a tree
-    whose fan-in per key is about ``FAN_IN``, however many there are. Within a
-    merge the summaries are ordered by content, so equal input gives equal
+    The merge is a tree: no group takes many more than ``FAN_IN`` summaries of a
+    key and band, however many there are. ``tasks`` is the number of tasks that
+    made ``parts``, each at most one summary a key and band; without it the
+    summaries are counted, and dealt to the groups by a hash of their content.
+    Within a merge they are ordered by content, so equal input gives equal
     output. Works on any union of summaries made with the same ``k``.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    parts = parts.select(*keys, "band", "n", "error", "levels", "sizes", "items")
+    by = [*keys, "band"]
+    parts = parts.select(*by, "n", "error", "levels", "sizes", "items")
     arrow, names = to_arrow_schema(parts.schema), parts.columns
 
     def merge(table: pa.Table) -> pa.Table:
         rows = []
-        for band, n, error, levels, sizes, items in zip(*(table.column(c) for c in ("band", "n", "error", "levels", "sizes", "items"))):
+        for n, error, levels, sizes, items in zip(*(table.column(c) for c in ("n", "error", "levels", "sizes", "items"))):
             values = np.asarray(items.values.to_numpy(zero_copy_only=False), dtype=float)
-            rows.append((band.as_py(), -n.as_py(), error.as_py(), float(values.sum()), levels.values.to_numpy(), sizes.values.to_numpy(), values))
-        rows.sort(key=lambda r: r[:4])
-        out: dict[int, Sketch] = {}
-        for band, n, error, _, levels, sizes, values in rows:
-            out.setdefault(band, Sketch(k)).merge(-n, error, levels, sizes, values)
-        key = tuple(table.column(c)[0].as_py() for c in keys)
-        return pa.Table.from_batches([_rows([(*key, band) for band in out], list(out.values()), arrow)])
-
-    salts = []
-    while tasks > FAN_IN:
-        tasks = -(-tasks // FAN_IN)
-        salts.append(tasks)
-    made = parts.withColumn("_task", F.spark_partition_id()) if salts else parts
-    for width in salts:
-        salted = made.withColumn("_salt", F.pmod("_task", F.lit(width)))
-        step = salted.groupBy(*keys, "_salt")
-        made = step.applyInArrow(_keep_task(merge, names), f"{_ddl(parts)}, _task int")
-    # without a key all summaries of the table meet under one constant
-    last = made.select(*names)
-    grouped = last.groupBy(*keys) if keys else last.groupBy(F.lit(0).alias("_all"))
-    return grouped.applyInArrow(lambda t: merge(t.select(names)), parts.schema)
+            rows.append((-n.as_py(), error.as_py(), float(values.sum()), levels.values.to_numpy(), sizes.values.to_numpy(), values))
+        rows.sort(key=lambda r: r[:3])
+        out = Sketch(k)
+        for n, error, _, levels, sizes, values in rows:
+            out.merge(-n, error, levels, sizes, values)
+        return pa.Table.from_batches([_rows([tuple(table.column(c)[0].as_py() for c in by)], [out], arrow)])
+
+    if tasks is None:
+        most = parts.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+        made = parts.withColumn("_task", F.pmod(F.xxhash64(*names), F.lit(max(most, 1))).cast("int"))
+    else:
+        most, made = tasks, parts.withColumn("_task", F.spark_partition_id())
+    while most > FAN_IN:
+        most = -(-most // FAN_IN)
+        made = made.withColumn("_up", F.floor(F.col("_task") / FAN_IN).cast("int")).groupBy(*by, "_up").applyInArrow(_keep_task(merge, names), f"{_ddl(parts)}, _task int")
+    return made.select(*names).groupBy(*by).applyInArrow(merge, parts.schema)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -230,7 +228,7 @@ def _ddl(df: DataFrame) -> str:
 def _keep_task(merge, names: list[str]):
     def run(table: pa.Table) -> pa.Table:
         out = merge(table.select(names))
-        return out.append_column("_task", pa.array([table.column("_salt")[0].as_py()] * out.num_rows, pa.int32()))
+        return out.append_column("_task", table.column("_up").slice(0, 1).cast(pa.int32()))
 
     return run
 

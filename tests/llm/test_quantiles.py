@@ -61,3 +61,23 @@ def test_days_combine_to_the_whole(spark, small):
     got = p3_percentiles(spark, small).filter("band = 1 and y = 1").collect()
     whole = [r for r in got if r.day is None]
     assert len(whole) == 1 and whole[0].n == sum(r.n for r in got if r.day is not None)
+
+
+def test_many_days_merge_as_a_tree(spark, monkeypatch):
+    """Summaries of many days meet in groups of bounded size, and the bound holds over all of them."""
+    monkeypatch.setattr(qt, "FAN_IN", 4)
+    rng = np.random.default_rng(6)
+    values = rng.normal(0, 100, 6000).round(2)
+    df = spark.createDataFrame([(int(i % 60), [float(v)]) for i, v in enumerate(values)], "day int, x array<double>")
+    days = qt.summarize(df, {"day": F.col("day")}, "x", 1, 32)
+    assert days.count() == 60
+    whole = qt.combine(days, [], 32)
+    assert "_up" in whole._jdf.queryExecution().toString()
+    row = qt.percentiles(whole, [], [0.1, 0.5, 0.9]).first()
+    ordered = np.sort(values)
+    assert row.n == 6000 and 0 < row.max_rank_error < 1500
+    for q, v in ((0.1, row.q10), (0.5, row.q50), (0.9, row.q90)):
+        low, high = np.searchsorted(ordered, v, "left") + 1, np.searchsorted(ordered, v, "right")
+        assert low - row.max_rank_error <= np.ceil(q * 6000) <= high + row.max_rank_error
+    again = qt.percentiles(qt.combine(days.repartition(7), [], 32), [], [0.1, 0.5, 0.9]).first()
+    assert again == row
