@@ -15,9 +15,12 @@ clusters are the sets connected by similarity, directly or through others.
    ``eps`` are noted as doubtful.
 4. Box clusters that share a core cell (one of the margin) are merged by
    distributed label propagation. A box that holds too many representatives for
-   one task is clustered in pairs of blocks, which share cells in the same way.
+   one task is cut again along the axes that are left, and only if those do not
+   divide it clustered in pairs of blocks, which share cells in the same way.
 5. Doubtful cell pairs that the merge has not joined anyway are decided by
-   comparing their members exactly, and the merge is carried on with them.
+   their members, first by the closest few, then, of the pairs still apart, by
+   all that the extents of both sides leave, in blocks; the merge is carried on
+   with them.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ AXES, SIDE = 4, 16.0
 BOX_ROWS, BOXES_AN_AXIS = 30_000, 2.2
 #: Representatives that one task clusters at most; a fuller box is taken in pairs of blocks.
 BOX_LIMIT = 1_000_000
+#: Members of a doubtful cell that are compared first, and members that one task compares at once.
+CLOSEST, PAIR_BLOCK = 48, 4096
 #: Candidate pairs that are expanded at once (8 bytes each, twice).
 PAIRS_AT_ONCE = 2_000_000
 #: A fine cell with more representatives than this is searched leader by leader.
@@ -255,10 +260,17 @@ def cell_clusters(points: DataFrame, eps: float, dims: int) -> DataFrame:
     spread = cells = cut(cells, "p4-cells")
     # one-sided margins: a box also holds what lies beyond its upper faces by at most the margin
     margin = F.when(F.col("many"), 3 * eps * (1 + 1e-9)).otherwise(2 * eps * (1 + 1e-9))
-    for k, axis in enumerate(axes[:cut_axes]):
-        z = sum((F.element_at("x", i + 1) - float(mean[i])) * float(axis[i]) for i in range(dims)) / side
-        spread = spread.withColumn("z", z).withColumn("w", F.floor("z"))
-        spread = spread.withColumn(f"w{k}", F.explode(F.when((F.col("z") - F.col("w")) * side < margin, F.array("w", F.col("w") - 1)).otherwise(F.array("w")))).drop("z", "w")
+
+    def along(df: DataFrame, k: int, where=None) -> DataFrame:
+        """Boxes cut along axis ``k`` (those of the rows ``where``)."""
+        z = sum((F.element_at("x", i + 1) - float(mean[i])) * float(axes[k][i]) for i in range(dims)) / side
+        w = F.floor("z")
+        both = F.when((F.col("z") - w) * side < margin, F.array(w, w - 1)).otherwise(F.array(w))
+        both = both if where is None else F.when(where, both).otherwise(F.array(F.lit(None).cast("bigint")))
+        return df.withColumn("z", z).withColumn(f"w{k}", F.explode(both)).drop("z")
+
+    for k in range(cut_axes):
+        spread = along(spread, k)
     keys = [f"w{k}" for k in range(cut_axes)]
     schema = f"k1 bigint, k2 bigint, id {kind}, a {kind}, doubt boolean, x array<double>"
 
@@ -278,7 +290,15 @@ def cell_clusters(points: DataFrame, eps: float, dims: int) -> DataFrame:
             "x": pa.array([None] * len(keep) + others, pa.list_(pa.float64())),
         })
 
-    spread, keys = _in_blocks(spread, keys)
+    for k in range(cut_axes, dims + 1):
+        full = cut(spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BOX_LIMIT), "p4-full")
+        if full.isEmpty():
+            break
+        marked = spread.join(full, [spread[c].eqNullSafe(full[c]) for c in keys], "left").select(spread["*"], full["_n"])
+        if k < dims:
+            spread, keys = along(marked, k, F.col("_n").isNotNull()).drop("_n"), [*keys, f"w{k}"]
+        else:
+            spread, keys = _in_blocks(marked, keys)
     local = cut(spread.groupBy(*keys).applyInArrow(one_box, schema), "p4-boxes")
     # shared core cells: a cell that several boxes hold links their labels
     firm = local.filter("not doubt").select("k1", "k2", "id", "a").distinct()
@@ -291,19 +311,16 @@ def cell_clusters(points: DataFrame, eps: float, dims: int) -> DataFrame:
     return _settle(points, local, rooted, eps, dims)
 
 
-def _in_blocks(spread: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    """Splits boxes of more than BOX_LIMIT representatives into pairs of blocks.
+def _in_blocks(marked: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Splits boxes of more than BOX_LIMIT representatives (``_n``, else null) into pairs of blocks.
 
     A full box that no cut in space divides (its rows lie within each other's
     margins) is divided by a hash of the id; every two of its blocks meet in one
     group, so every two rows do, and the groups' clusters merge like those of
-    boxes. There are at most rows / BOX_LIMIT such boxes, so their list is small.
+    boxes.
     """
-    full = cut(spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BOX_LIMIT), "p4-full")
-    if full.isEmpty():
-        return spread, keys
     blocks = F.coalesce(F.ceil(F.col("_n") * 2 / BOX_LIMIT), F.lit(1)).cast("int")
-    split = spread.join(F.broadcast(full), keys, "left").withColumn("_b", blocks).withColumn("_h", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int"))
+    split = marked.withColumn("_b", blocks).withColumn("_h", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int"))
     split = split.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     split = split.withColumn("_p", F.least("_h", "_j")).withColumn("_q", F.greatest("_h", "_j")).drop("_n", "_b", "_h", "_j")
     return split, [*keys, "_p", "_q"]
@@ -312,10 +329,10 @@ def _in_blocks(spread: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]
 def _settle(points: DataFrame, local: DataFrame, rooted: DataFrame, eps: float, dims: int) -> DataFrame:
     """Decide the doubtful pairs by their members, and join what they link.
 
-    First every member is compared with the other cell's representative, which
-    is linear and joins dense neighbours. Only pairs still apart after that are
-    compared member by member, and of them only the members within ``eps`` of
-    the box around the other cell.
+    Three steps, each over the pairs still apart after the one before: every
+    member against the other cell's representative, which is linear and joins
+    dense neighbours; the members nearest the other cell, some ``CLOSEST`` of
+    each side; at last all members that can have a partner.
     """
     doubts = local.filter("doubt").select("k1", "k2", "id", F.col("a").alias("other"), F.col("x").alias("ox")).dropDuplicates(["id", "other"])
     every = rooted.select("k1", "k2", "id", "a")
@@ -324,7 +341,9 @@ def _settle(points: DataFrame, local: DataFrame, rooted: DataFrame, eps: float,
     # lone cells have no root yet; they get their own, so that they can be joined
     lone = doubts.join(every.select("id"), "id", "left_anti").select("k1", "k2", "id", F.col("id").alias("a")).distinct()
     every = cut(every.unionByName(lone), "p4-every")
-    for step in ("representatives", "members"):
+    side = eps / math.sqrt(dims)
+    beyond = F.zip_with("x", "ox", lambda v, o: F.greatest(F.floor(o / side) * side - v, v - (F.floor(o / side) + 1) * side, F.lit(0.0)))
+    for step in ("representatives", "closest", "members"):
         roots = every.select("id", F.col("a").alias("r"))
         asked = doubts.join(roots, "id").join(roots.select(F.col("id").alias("other"), F.col("r").alias("s")), "other").filter("r <> s")
         asked = cut(asked.withColumnRenamed("id", "cell"), "p4-asked")
@@ -334,12 +353,9 @@ def _settle(points: DataFrame, local: DataFrame, rooted: DataFrame, eps: float,
         if step == "representatives":
             links = member.filter(_apart("x", "ox") <= eps * eps).select("r", "s")
         else:
-            side = eps / math.sqrt(dims)
-            beyond = F.zip_with("x", "ox", lambda v, o: F.greatest(F.floor(o / side) * side - v, v - (F.floor(o / side) + 1) * side, F.lit(0.0)))
-            near = member.filter(F.aggregate(beyond, F.lit(0.0), lambda t, v: t + v * v) <= eps * eps * (1 + 1e-9)).select("cell", "other", "r", "s", "x").distinct()
-            left = near.filter("cell < other").select("cell", "other", "r", "s", F.col("x").alias("u"))
-            right = near.filter("cell > other").select(F.col("other").alias("cell"), F.col("cell").alias("other"), F.col("x").alias("v"))
-            links = left.join(right, ["cell", "other"]).filter(_apart("u", "v") <= eps * eps).select("r", "s")
+            near = member.withColumn("far", F.aggregate(beyond, F.lit(0.0), lambda t, v: t + v * v)).filter(F.col("far") <= eps * eps * (1 + 1e-9))
+            near = near.select("cell", "other", "r", "s", "x", "far").distinct()
+            links = _closest(near, eps) if step == "closest" else _by_members(near, eps, dims)
         links = cut(links.distinct().select(F.col("r").alias("a"), F.col("s").alias("b")), "p4-links")
         if not links.isEmpty():
             merged = components(links, "p4-settle")
@@ -347,6 +363,53 @@ def _settle(points: DataFrame, local: DataFrame, rooted: DataFrame, eps: float,
     return every.select("k1", "k2", F.col("a").alias("root"))
 
 
+def _sides(near: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
+    """Members of the smaller cell of each pair as u, those of the other as v, under one key."""
+    left = near.filter("cell < other").select("cell", "other", "r", "s", F.col("x").alias("u"), *also)
+    right = near.filter("cell > other").select(F.col("other").alias("cell"), F.col("cell").alias("other"), F.col("x").alias("v"), *also)
+    return left, right
+
+
+def _closest(near: DataFrame, eps: float) -> DataFrame:
+    """Links among the members nearest the other cell: one of each of CLOSEST parts, so at most its square of pairs."""
+    part = F.pmod(F.xxhash64("x"), F.lit(CLOSEST))
+    few = near.groupBy("cell", "other", "r", "s", part.alias("part")).agg(F.min_by("x", F.struct("far", "x")).alias("x"))
+    left, right = _sides(few)
+    return left.join(right, ["cell", "other"]).filter(_apart("u", "v") <= eps * eps).select("r", "s")
+
+
+def _by_members(near: DataFrame, eps: float, dims: int) -> DataFrame:
+    """Links among all members that can have a partner.
+
+    The extent of one side's members is one row per pair; a member of the other
+    side farther than ``eps`` from it is dropped, which leaves nothing of dense
+    cells with a gap between them. What is left meets in blocks of bounded size,
+    each compared at once.
+    """
+    for _ in range(2):
+        low, high = (F.array(*[f(F.element_at("x", i + 1)) for i in range(dims)]) for f in (F.min, F.max))
+        extent = near.groupBy("cell", "other").agg(low.alias("low"), high.alias("high")).select(F.col("other").alias("cell"), F.col("cell").alias("other"), "low", "high")
+        gap = F.zip_with("x", F.arrays_zip("low", "high"), lambda v, b: F.greatest(b["low"] - v, v - b["high"], F.lit(0.0)))
+        near = cut(near.join(extent, ["cell", "other"]).filter(F.aggregate(gap, F.lit(0.0), lambda t, v: t + v * v) <= eps * eps * (1 + 1e-9)).drop("low", "high"), "p4-near")
+    sizes = near.groupBy("cell", "other").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("own"))
+    both = sizes.join(sizes.select(F.col("other").alias("cell"), F.col("cell").alias("other"), F.col("own").alias("their")), ["cell", "other"])
+    dealt = near.join(both, ["cell", "other"]).withColumn("i", F.pmod(F.xxhash64("x"), F.col("own")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("their") - 1)))
+    left, right = _sides(dealt, "i", "j")
+    keys = ["cell", "other", "i", "j"]
+    kind = near.schema["r"].dataType.simpleString()
+
+    def test(a: pa.Table, b: pa.Table) -> pa.Table:
+        hit = False
+        if a.num_rows and b.num_rows:
+            u, v = _matrix(a.column("u").combine_chunks(), dims), _matrix(b.column("v").combine_chunks(), dims)
+            # blocks are of bounded size on average; rows one by one keep the memory so, and stop at the first hit
+            hit = any((((v - p) ** 2).sum(1) <= eps * eps).any() for p in u)
+        return a.select(["r", "s"]).slice(0, 1 if hit else 0)
+
+    meet = right.withColumnsRenamed({"i": "_", "j": "i"}).withColumnRenamed("_", "j").select(*keys, "v")
+    return left.select(*keys, "r", "s", "u").groupBy(*keys).cogroup(meet.groupBy(*keys)).applyInArrow(test, f"r {kind}, s {kind}")
+
+
 def _apart(u: str, v: str):
     """Squared distance of two vectors."""
     return F.aggregate(F.zip_with(u, v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)

@@ -43,6 +43,34 @@ def test_full_boxes_are_taken_in_blocks(spark, monkeypatch):
     assert got == brute(ids, x, 150.0)
 
 
+def test_full_boxes_are_cut_by_further_axes(spark, monkeypatch):
+    monkeypatch.setattr(dn, "BOX_LIMIT", 40)
+    monkeypatch.setattr(dn, "SIDE", 4.0)
+    blocks = []
+    monkeypatch.setattr(dn, "_in_blocks", lambda marked, keys: blocks.append(keys) or (marked.drop("_n"), keys))
+    rng = np.random.default_rng(7)
+    x = np.r_[rng.uniform(0, 5000, (400, 4)), rng.normal(2500, 100, (30, 4))]
+    ids = rng.permutation(len(x))
+    got = {tuple(r) for r in dn.clusters(frame(spark, ids, x), "sample_id", "x", 150.0, 4).collect()}
+    assert got == brute(ids, x, 150.0) and blocks == []
+
+
+@pytest.mark.parametrize("gap", [149.0, 151.0])
+@pytest.mark.parametrize("closest", [48, 1])
+def test_two_dense_cells(spark, monkeypatch, gap, closest):
+    """Many members on either side, of which one pair at most is near enough; decided in blocks."""
+    monkeypatch.setattr(dn, "CLOSEST", closest)
+    monkeypatch.setattr(dn, "PAIR_BLOCK", 16)
+    side = 150 / np.sqrt(2)
+    rng = np.random.default_rng(3)
+    left, right = rng.uniform(0, 1, (200, 2)) * [30, side * 0.98] + [0.1, 0.1], rng.uniform(0, 1, (200, 2)) * [30, side * 0.98] + [2 * side + 50, 0.1]
+    x = np.r_[left, right, [[side * 0.99, 50.0]], [[side * 0.99 + gap, 50.0]]]
+    ids = np.r_[np.arange(400) + 10, [900, 901]]
+    got = {tuple(r) for r in dn.clusters(frame(spark, ids, x), "sample_id", "x", 150.0, 2).collect()}
+    assert got == brute(ids, x, 150.0)
+    assert len({c for c, _ in got}) == (1 if gap < 150 else 2)
+
+
 def test_doubtful_members_link(spark):
     """Representatives are too far apart, other members of the cells are not."""
     side = 150 / np.sqrt(2)
