@@ -4,9 +4,10 @@ A document and an item are a case if ``run`` consecutive words of the item's
 text stand in the document. Seen as sets of ``SHINGLE``-word shingles, a window
 of ``run`` words must be contained entirely, so of its ``run - SHINGLE + 1``
 shingles, ordered by rarity in the corpus, a prefix of one suffices to find it:
-the rarest. Documents are joined with these rarest shingles only; a hit is
-verified word by word over the window that its positions in item and document
-allow.
+the rarest. One pass over the texts counts the item shingles and keeps the runs
+of words that are long enough to hold a window and consist of item shingles
+alone; these are joined with the rarest shingles only, and a hit is verified
+word by word over the window that its positions in item and document allow.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.llm.typeset import words
+from gridloom.session import cut
 
 SHINGLE = 5
 #: Item words that one broadcast holds at most (some 60 bytes each with index).
@@ -53,10 +55,10 @@ class ItemIndex:
         self.known = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, dtype=np.uint64)
         self.places = [np.searchsorted(self.known, h) for h in hashed]
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def encode(self, text: list[str]) -> np.ndarray:
         """Item-vocabulary ids of a text's words, 0 for every other word."""
         get = self.vocabulary.get
-        return np.array([get(w, 0) for w in words(text)], dtype=np.int64)
+        return np.array([get(w, 0) for w in text], dtype=np.int64)
 
     def hits(self, ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose shingle is in the sorted ``known``, and where in it."""
@@ -72,6 +74,14 @@ class ItemIndex:
         ok = known[at] == h
         return full[ok], at[ok]
 
+    def runs(self, ids: np.ndarray, full: np.ndarray) -> list[np.ndarray]:
+        """Word runs over consecutive positions in ``full``, as many as a window of ``run`` words has, or more."""
+        if not len(full):
+            return []
+        ends = np.flatnonzero(np.r_[np.diff(full) > 1, True])
+        starts = np.r_[0, ends[:-1] + 1]
+        return [ids[full[a] : full[b] + SHINGLE] for a, b in zip(starts, ends) if b - a >= self.run - SHINGLE]
+
     def prefixes(self, counts: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Rarest shingle of every window -> the item positions it stands at."""
         width = self.run - SHINGLE + 1
@@ -99,7 +109,7 @@ def _verified(ids: np.ndarray, at: int, item: np.ndarray, offset: int, run: int)
     return bool((ends[1::2] - ends[::2] >= run).any())
 
 
-def _blocks(items: list[tuple[object, list[str]]]) -> Iterator[list]:
+def _blocks(items: Iterator[tuple[object, list[str]]]) -> Iterator[list]:
     block, size = [], 0
     for item in items:
         if block and size + len(item[1]) > BLOCK_WORDS:
@@ -115,27 +125,36 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     """``(doc_id, item_id)`` of every document that holds ``run`` words of an item in a row.
 
     The items are the stated query set: their words are read in blocks of
-    bounded size, and every block meets all documents. Two narrow passes over
-    the documents per block: one counts how often the item shingles occur (one
-    row per task and shingle), one joins the rarest shingles and verifies.
-    Null, empty and short texts on either side make no case; repeated rows give
-    one case; null ids are kept as null. If both tables call their id the same,
-    that of the items is returned as ``<name>_item``. Other columns are not read.
+    bounded size, and every block meets all documents. The texts are cleaned
+    once; with several blocks their plain words are written for the blocks to
+    read. A block's pass leaves one row per task and item shingle, counted over
+    all documents, and one per word run that may hold a window, which verified
+    copies and near misses have alone. Null, empty and short texts on either
+    side make no case; repeated rows give one case; null ids are kept as null.
+    If both tables call their id the same, that of the items is returned as
+    ``<name>_item``. Other columns are not read.
     """
     spark = docs.sparkSession
     named = f"{item_id}_item" if item_id == doc_id else item_id
-    schema = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, `{named}` {items.schema[item_id].dataType.simpleString()}"
-    source = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"`{doc_id}` {kind}, `{named}` {items.schema[item_id].dataType.simpleString()}"
+    source, split = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")), words
+    blocks = _blocks(_item_words(items, item_id, item_text, run))
+    block, later = next(blocks, None), next(blocks, None)
+    if later is not None:
+        source, split = cut(source.mapInArrow(_cleaned, f"d {kind}, t string"), "p7-words"), str.split
     found = None
-    for block in _blocks(list(_item_words(items, item_id, item_text, run))):
+    while block is not None:
         index = ItemIndex(block, run)
         sent = spark.sparkContext.broadcast(index)
-        rows = source.select("t").mapInArrow(_counter(sent), "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        met = cut(source.mapInArrow(_scan(sent, split), f"place int, n bigint, d {kind}, ids array<int>"), "p7-runs")
+        rows = met.filter("place is not null").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(len(index.known), dtype=np.int64)
         counts[rows.column("place").to_numpy()] = rows.column("n").to_numpy()
-        prefix = index.prefixes(counts)
-        one = source.mapInArrow(_joiner(sent, spark.sparkContext.broadcast(prefix), to_arrow_type(items.schema[item_id].dataType)), schema)
+        prefix = spark.sparkContext.broadcast(index.prefixes(counts))
+        one = met.filter("place is null").select("d", "ids").mapInArrow(_joiner(sent, prefix, to_arrow_type(items.schema[item_id].dataType)), schema)
         found = one if found is None else found.unionByName(one)
+        block, later = later, next(blocks, None)
     if found is None:
         return spark.createDataFrame([], schema)
     return found.distinct()
@@ -149,17 +168,39 @@ def _item_words(items: DataFrame, item_id: str, item_text: str, run: int) -> Ite
             yield row[0], got
 
 
-def _counter(sent):
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(words(t)) for t in batch.column(1).to_pylist()], pa.string())], names=["d", "t"])
+
+
+def _scan(sent, split):
+    """Rows (place, n, null, null) of the item shingles met, and (null, null, d, ids) of the word runs kept."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = sent.value
-        counts = np.zeros(len(index.known), dtype=np.int64)
+        counts, kind = np.zeros(len(index.known), dtype=np.int64), None
+
+        def rows(places: np.ndarray, d: list, kept: list) -> pa.RecordBatch:
+            none = len(places)
+            return pa.RecordBatch.from_arrays([
+                pa.array([*places.tolist(), *[None] * len(d)], pa.int32()), pa.array([*counts[places].tolist(), *[None] * len(d)], pa.int64()),
+                pa.array([*[None] * none, *d], kind), pa.array([*[None] * none, *kept], pa.list_(pa.int32())),
+            ], names=["place", "n", "d", "ids"])
+
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                _, at = index.hits(index.encode(t), index.known)
+            kind, d, kept = batch.column(0).type, [], []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = index.encode(split(t) if t else [])
+                full, at = index.hits(ids, index.known)
                 if len(at):
                     counts += np.bincount(at, minlength=len(counts))
-        place = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(counts[place])], names=["place", "n"])
+                    for one in index.runs(ids, full):
+                        d.append(key)
+                        kept.append(one.astype(np.int32))
+            if d:
+                yield rows(np.zeros(0, dtype=np.int64), d, kept)
+        if kind is not None:
+            yield rows(np.flatnonzero(counts), [], [])
 
     return run
 
@@ -172,8 +213,8 @@ def _joiner(sent, prefix, kind: pa.DataType):
         known = index.known[places]
         for batch in batches:
             out: list[tuple] = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = index.encode(t)
+            for d, kept in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = kept.values.to_numpy().astype(np.int64)
                 met: set[int] = set()
                 for at, k in zip(*(x.tolist() for x in index.hits(ids, known))):
                     for item, offset in at_items[int(places[k])]:
