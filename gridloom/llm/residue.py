@@ -26,10 +26,12 @@ RECUR_DOCS, RECUR_SOURCES = 5, 2
 #: Titles and author lines meet by chance or belong to one author, and long texts may be copies: without known wording
 #: these must recur in so many documents, in one of so many, and in so many sources.
 WIDE_DOCS, WIDE_SHARE, WIDE_SOURCES = 20, 10_000, 3
+#: Hashes whose verdict a task keeps.
+KNOWN = 200_000
 #: Words of a recurring whole text from which it may be the copy of an article.
 ARTICLE_WORDS = 60
-#: Words beside the message that its part may hold (a reference, a signature).
-SPARE_WORDS = 4
+#: Words beside the message that its part may hold (a reference, a signature), and their share of all words; beside placeholders the share alone.
+SPARE_WORDS, SPARE_SHARE, SPARE_BESIDE = 4, 0.25, 0.12
 
 #: Names of the fields that templates leave unfilled.
 FIELDS = (
@@ -46,7 +48,7 @@ PLACEHOLDERS = [
     rf"\b(?:{FIELDS})[ _-]placeholder\b", rf"\bplaceholder[ _-](?:for )?{_F}\b", rf"\b{_F} (?:goes|comes|here|to be inserted) here\b", rf"\b{_F} (?:goes|comes) in here\b",
     rf"\b(?:type|insert|enter|write|put|add|place) {_F} here\b", rf"\bto be (?:filled in|completed|added|inserted|provided)\s*:?\s*{_F}?\b",
     rf"\binsérer {_F} ici\b", rf"\b(?:saisissez|tapez|écrivez) {_F} ici\b", rf"\bhier {_F} (?:einfügen|eingeben|eintragen)\b", rf"\b(?:escriba|inserte|introduzca) aquí\s*:?\s*{_F}\b", rf"\b(?:escriba|inserte|introduzca) {_F} aquí\b",
-    rf"\badd {_F} in this space(?:, at most \d+ words)?", rf"\bclick (?:here )?to add {_F}\b",
+    rf"\badd {_F} in this space(?:, at most \d+ words)?", rf"\bclick (?:here )?to add {_F}\b", rf"\[\s*{_F}\s*\]", rf"\b(?:todo|tbd|tba|fixme)\b\s*[:-]?\s*(?:{_F}\b)?",
 ]
 #: Phrases of error pages and failed conversions, numbers masked as 0.
 ERRORS = [
@@ -79,6 +81,23 @@ SCRIPTS = [
     r"\bveuillez activer (?:javascript|les scripts)\b[\w ]{0,50}", r"\bcette page ne fonctionne pas sans (?:scripts|javascript)\b",
     r"\b(?:active|habilite|active usted) (?:javascript|los scripts)\b[\w ]{0,50}", r"\besta (?:página|vista) (?:necesita|requiere|no funciona sin) (?:javascript|scripts|guiones)\b[\w ]{0,40}", r"\b(?:debe|necesita) activar javascript\b[\w ]{0,40}", r"\besta (?:página|vista) necesita que el navegador permita (?:javascript|scripts)\b",
 ]
+#: What a page's visitor or its parts want or lack, and how messages in several languages say so.
+_THING = (
+    r"(?:page|gateway|server|service|request|file|document|resource|connection|session|url|website|site|host|upstream|proxy|link|login|"
+    r"seite|dienst|anfrage|datei|verbindung|sitzung|serveur|fichier|connexion|requête|página|servidor|archivo|conexión|sesión|solicitud|pagina|servizio|richiesta|connessione|sessione|sito)"
+)
+_FAULT = (
+    r"(?:not (?:be )?found|timed out|time-?out|unavailable|unreachable|refused|expired|denied|forbidden|failed|not available|not respond(?:ing)?|overloaded|no longer exists?|offline|interrupted|"
+    r"nicht (?:gefunden|verfügbar|erreichbar)|abgelaufen|überlastet|verweigert|introuvable|indisponible|inaccessible|expirée?|refusée?|no (?:encontrad[oa]|disponible)|caducad[oa]|rechazad[oa]|non (?:trovat[oa]|disponibile|raggiungibile)|scadut[oa]|rifiutat[oa])"
+)
+_SCRIPT = r"(?:javascript|java-script|js|scripts?|scripting|cookies|skripte?|guiones)"
+_WANTED = (
+    r"(?:enabled?|disabled?|requires?|required|must|needs?|needed|turned (?:on|off)|turn on|switched (?:on|off)|switch on|activated?|allow(?:ed)?|blocked|missing|aktivier\w*|deaktiviert|erforderlich|benötigt|nötig|eingeschaltet|ausgeschaltet|"
+    r"activée?s?|activer|désactivée?s?|nécessaires?|requis|activ(?:ar|e|ad[oa]s?)|desactivad[oa]s?|necesari[oa]s?|requiere|necesita|attiv(?:are|at[oi])|disattivat[oi]|necessari[oa]?|richiest[oi]|abilitare)"
+)
+_SENTENCE = r"[\w ,'()-]{0,60}"
+ERRORS += [rf"\b{_THING}\b{_SENTENCE}?\b{_FAULT}\b{_SENTENCE}", rf"\b{_FAULT}\b{_SENTENCE}?\b{_THING}\b{_SENTENCE}"]
+SCRIPTS += [rf"\b{_SCRIPT}\b{_SENTENCE}?\b{_WANTED}\b{_SENTENCE}", rf"\b{_WANTED}\b{_SENTENCE}?\b{_SCRIPT}\b{_SENTENCE}"]
 #: Words that let a recurring short text count as a message.
 VAGUE = re.compile(r"\b(?:javascript|scripts?|browser|server|cookies?|unavailable|not found|access denied|session|placeholder|template|reload|timed? out|webmaster|redirect\w*|captcha|introuvable|skripte|navegador|navigateur|servidor|serveur)\b")
 #: Words of the customary Latin filler.
@@ -231,7 +250,7 @@ def classify(text: str) -> str | None:
     # a text of messages and placeholders consists of their words, or has the marks of a template
     phrases = marked or sum(map(PHRASE_WORDS.__contains__, words)) >= 0.5 * len(words)
     rest = _PLACEHOLDER.sub(" ", text) if phrases else text
-    if rest != text and _spare(rest) <= (0 if len(text) < 200 else SPARE_WORDS):
+    if rest != text and _spare(rest) <= SPARE_BESIDE * len(words):
         return "placeholder"
     bare = _FILLER_COMMAND.sub(" ", text) if "\\" in text else text
     words = _WORD.findall(bare) if bare is not text else words
@@ -255,8 +274,7 @@ def classify(text: str) -> str | None:
         return None
     rest = _MESSAGE.sub(" ", text)
     if rest != text:
-        mixed = _PLACEHOLDER.sub(" ", rest)
-        if _spare(mixed) <= SPARE_WORDS or _spare(mixed) <= 0.25 * len(_WORD.findall(text)) and len(text) < 600:
+        if _spare(_PLACEHOLDER.sub(" ", rest)) <= max(SPARE_WORDS, SPARE_SHARE * len(_WORD.findall(text))):
             return "message"
     if len(words) <= 25 and len(set(VAGUE.findall(text))) >= 2:
         return "vague"
@@ -285,22 +303,29 @@ def residue(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     rows give one case, a null source counts as one source, a null id stays.
     One narrow pass takes the documents apart and leaves a row of hashes for
     every part: of its masked text, and of the title, authors and abstract beside
-    it. Rows are counted by hash with partial results before the shuffle; only
+    it. The verdict belongs to the hash: a text is classified where a task first
+    meets it, so that texts need not be moved to their groups. Rows are counted
+    by hash with partial results before the shuffle; only
     hashes met often are counted exactly. What is cut off may be equal by chance:
     it is a case if its text is one, but adds nothing to the counts.
     """
     schema = f"d {docs.schema[doc_id].dataType.simpleString()}, s {docs.schema[source].dataType.simpleString()}, key binary, part string, verdict string, title bigint, author bigint, abstract bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, str | None] = {}  # equal texts have equal verdicts: one classification per hash and task
         for batch in batches:
             rows = []
+            if len(known) > KNOWN:
+                known.clear()
             for d, t, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found, beside = {}, {}
                 for part, body in parts_of(t) if t and t.strip() else ():
                     if m := masked(body):
                         key = _digest(m)
                         beside.setdefault(part.removeprefix("cut "), int.from_bytes(key[:8], "little", signed=True))
-                        if verdict := classify(m) or _open(m):
+                        if key not in known:
+                            known[key] = classify(m) or _open(m)
+                        if verdict := known[key]:
                             found.setdefault((key, part), verdict)
                 for (key, part), verdict in found.items():
                     rows.append((d, s, key, part, verdict, *(None if k == part else beside.get(k) for k in ("title", "author", "abstract"))))
