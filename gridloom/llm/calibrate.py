@@ -87,10 +87,10 @@ def allocate(available: np.ndarray, share: np.ndarray, floor: np.ndarray, size:
 
 
 def whole(expected: np.ndarray) -> np.ndarray:
-    """Integers with the rounded sum of ``expected``, each within one of it."""
+    """Integers with the rounded sum of ``expected``, each within one of it; equal remainders go by position."""
     base = np.floor(expected + 1e-9).astype(np.int64)
     extra = int(round(float(expected.sum()))) - int(base.sum())
-    base[np.argsort(base - expected, kind="stable")[: max(extra, 0)]] += 1
+    base[np.argsort(np.round(base - expected, 6), kind="stable")[: max(extra, 0)]] += 1
     return base
 
 

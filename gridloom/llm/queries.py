@@ -67,12 +67,37 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Per y and band, by acquisition day and over all days (day null).
 
     The whole is combined from the summaries of the days; the samples are read
-    once.
+    once. Samples without a day count for the whole only.
     """
     keys = {"y": F.col("y"), "day": F.to_date("acquired_at")}
     days = cut(qt.summarize(table(spark, d, "extractor_samples"), keys, "x", BANDS), "p3-days")
     whole = qt.combine(days, ["y"]).withColumn("day", F.lit(None).cast("date"))
-    return qt.percentiles(days.unionByName(whole), ["y", "day"], FRACTIONS)
+    return qt.percentiles(days.filter("day is not null").unionByName(whole), ["y", "day"], FRACTIONS)
+
+
+def p3_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Per y, day and band the exact number of values, and whether every percentile's rank is within its stated error.
+
+    The ranks are counted over all values against the percentiles, a row per
+    group; counts combine before they are shuffled.
+    """
+    told = cut(p3_percentiles(spark, d), "p3-told")
+    x = F.col("x").cast("array<double>")
+    value = F.explode(F.filter(F.transform(x, lambda v, i: F.struct((i + 1).alias("band"), v.alias("v"))), lambda s: (s["band"] <= BANDS) & (F.abs(s["v"]) < float("inf")) & (s["v"] != density.MASK)))
+    day = F.to_date("acquired_at")
+    days = F.explode(F.when(day.isNotNull(), F.array(day, F.lit(None).cast("date"))).otherwise(F.array(F.lit(None).cast("date"))))
+    rows = table(spark, d, "extractor_samples").select("y", "acquired_at", value.alias("s")).select("y", days.alias("day"), F.col("s.band").alias("band"), F.col("s.v").alias("v"))
+    same = F.expr("r.y <=> t.y and r.day <=> t.day and r.band = t.band")
+    labels = [c for c in told.columns if c.startswith("q")]
+    counts = rows.alias("r").join(told.alias("t"), same).groupBy("t.y", "t.day", "t.band").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("v") < F.col(q)).alias(f"{q}_low") for q in labels], *[F.count_if(F.col("v") <= F.col(q)).alias(f"{q}_high") for q in labels],
+        F.max("max_rank_error").alias("e"), F.max("t.n").alias("told"),
+    )
+    within = F.col("told") == F.col("n")
+    for q, f in zip(labels, FRACTIONS):
+        rank = F.greatest(F.ceil(F.lit(f) * F.col("n")), F.lit(1))
+        within &= (F.col(f"{q}_low") + 1 - F.col("e") <= rank) & (rank <= F.col(f"{q}_high") + F.col("e"))
+    return counts.select("y", "day", "band", "n", within.alias("within"))
 
 
 #: Two samples are similar up to this distance of their ten bands.
@@ -95,10 +120,10 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose decoded ids differ from the stored text; none is expected."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    back = tk.decode_column(p6_ids(spark, d), "doc_id", "ids", tk.tokenizer_path()).withColumnRenamed("text", "decoded")
-    return docs.join(back, "doc_id").filter(F.coalesce("text", F.lit("")) != F.col("decoded")).select("doc_id")
+    """A hash of every document as decoded from its ids; one without ids has none."""
+    docs = table(spark, d, "documents").select("doc_id")
+    back = tk.decode_column(p6_ids(spark, d), "doc_id", "ids", tk.tokenizer_path()).select("doc_id", F.md5("text").alias("decoded"))
+    return docs.join(back, "doc_id", "left")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -110,20 +135,55 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_subset": p1_subset, "p2_found": p2_found, "p2_plan": p2_plan, "p2_sample": p2_sample, "p3_percentiles": p3_percentiles, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p8_found": p8_found}
+    found = [p1_subset, p2_found, p2_plan, p2_sample, p3_percentiles, p3_audit, p4_found, p4_clusters, p6_ids, p6_round_trip, p7_found, p8_found]
+    return {q.__name__: q for q in found}
 
 
 _KEY = "trim(lower(regexp_replace({0}, '[\\s\u00a0_-]+', ' ', 'g')))"
-_FOUND = f"""WITH l AS (SELECT classname, CAST(trunc(try_cast(trim(id) AS DOUBLE)) AS BIGINT) AS label, {_KEY.format('classname')} AS k FROM labels_map WHERE classname IS NOT NULL),
+_AVAILABLE = f"""l AS (SELECT classname, CAST(trunc(try_cast(trim(id) AS DOUBLE)) AS BIGINT) AS label, {_KEY.format('classname')} AS k FROM labels_map WHERE classname IS NOT NULL),
 p AS (SELECT DISTINCT point_id, CAST(trunc(try_cast(trim(id) AS DOUBLE)) AS BIGINT) AS label, {_KEY.format('classname')} AS k FROM gdf_points WHERE point_id IS NOT NULL),
 m AS (SELECT k, CASE WHEN max(exact) IS NOT NULL THEN max(exact) WHEN min(near) = max(near) THEN min(near) END AS classname FROM (
   SELECT n.k, CASE WHEN n.k = l.k THEN classname END AS exact, classname AS near FROM (SELECT DISTINCT k FROM p WHERE label IS NULL AND k <> '') n JOIN l ON damerau_levenshtein(n.k, l.k) <= 1) t GROUP BY 1),
 c AS (SELECT point_id, classname FROM p JOIN l USING (label) UNION SELECT point_id, classname FROM p JOIN m USING (k) WHERE label IS NULL),
 a AS (SELECT 'gdf_points' AS drawn_from, classname AS category, count(DISTINCT point_id) AS n FROM c GROUP BY 2
-  UNION ALL SELECT 'extractor_samples', CAST(y AS VARCHAR), count(DISTINCT sample_id) FROM extractor_samples WHERE y IS NOT NULL GROUP BY 2)
+  UNION ALL SELECT 'extractor_samples', CAST(y AS VARCHAR), count(DISTINCT sample_id) FROM extractor_samples WHERE y IS NOT NULL GROUP BY 2)"""
+_FOUND = f"""WITH {_AVAILABLE}
 SELECT DISTINCT target_set, category FROM sample_targets LEFT JOIN a USING (drawn_from, category) WHERE coalesce(n, 0) < share * sample_size OR coalesce(n, 0) < min_count"""
+#: Shares times a common factor, held between minimum and supply; the factor that fills the sample is found by halving.
+_PLAN = f"""WITH RECURSIVE {_AVAILABLE},
+t AS (SELECT DISTINCT drawn_from, target_set, category, coalesce(share, 0) AS share, coalesce(min_count, 0) AS min_count, coalesce(sample_size, 0) AS sample_size FROM sample_targets),
+r AS (SELECT t.*, CAST(coalesce(n, 0) AS DOUBLE) AS n, least(coalesce(n, 0), CAST(min_count AS DOUBLE)) AS low FROM t LEFT JOIN a USING (drawn_from, category)),
+w AS (SELECT drawn_from, target_set, least(CAST(max(sample_size) AS DOUBLE), sum(n)) AS room FROM r GROUP BY ALL),
+f(drawn_from, target_set, lo, hi, step) AS (SELECT drawn_from, target_set, 0.0::DOUBLE, 1e8::DOUBLE, 0 FROM w UNION ALL
+  SELECT g.drawn_from, g.target_set, CASE WHEN g.total <= g.room THEN g.mid ELSE g.lo END, CASE WHEN g.total <= g.room THEN g.hi ELSE g.mid END, g.step + 1 FROM (
+    SELECT f.drawn_from, f.target_set, any_value(lo) AS lo, any_value(hi) AS hi, any_value((lo + hi) / 2) AS mid, any_value(step) AS step, any_value(room) AS room, sum(least(greatest((lo + hi) / 2 * share, low), n)) AS total
+    FROM f JOIN r USING (drawn_from, target_set) JOIN w USING (drawn_from, target_set) WHERE step < 120 GROUP BY f.drawn_from, f.target_set) g),
+e AS (SELECT r.*, round(least(greatest(lo * share, low), n), 6) AS x FROM r JOIN f USING (drawn_from, target_set) WHERE step = 120),
+b AS (SELECT *, CAST(floor(x + 1e-6) AS BIGINT) AS whole, row_number() OVER (PARTITION BY drawn_from, target_set ORDER BY round(floor(x + 1e-6) - x, 5), category) AS pos,
+  CAST(round(sum(x) OVER s) AS BIGINT) - sum(CAST(floor(x + 1e-6) AS BIGINT)) OVER s AS extra FROM e WINDOW s AS (PARTITION BY drawn_from, target_set)),
+k AS (SELECT *, whole + CASE WHEN pos <= extra THEN 1 ELSE 0 END AS take, share * sample_size AS wish, greatest(share * sample_size, min_count) AS goal FROM b)
+SELECT target_set, category, share, min_count, sample_size, CAST(n AS BIGINT) AS available, CAST(take AS BIGINT) AS take, CAST(ceil(greatest(goal - n, 0)) AS BIGINT) AS lack,
+  CAST(floor(greatest(goal - take, 0) + 1e-9) AS BIGINT) AS gap, CAST(floor(greatest(take - wish, 0) + 1e-9) AS BIGINT) AS excess FROM k"""
+_AUDIT = """WITH v AS (SELECT y, CAST(acquired_at AS DATE) AS day, unnest(x) AS v, generate_subscripts(x, 1) AS band FROM extractor_samples),
+u AS (SELECT y, day, CAST(band AS INTEGER) AS band FROM v WHERE band <= 10 AND isfinite(v) AND v <> 9999)
+SELECT y, day, band, count(*) AS n, true AS within FROM u WHERE day IS NOT NULL GROUP BY ALL UNION ALL SELECT y, NULL, band, count(*), true FROM u GROUP BY y, band"""
+#: Links within cells of two bands and their neighbours; the smallest id of what is linked spreads until it changes nothing.
+_CLUSTERS = """u AS (SELECT DISTINCT sample_id AS id, x FROM extractor_samples WHERE sample_id IS NOT NULL AND len(x) = 10 AND list_bool_and(list_transform(x, lambda v: v IS NOT NULL AND isfinite(v) AND v <> 9999))),
+c AS (SELECT id, x, CAST(floor(x[1] / 150) AS BIGINT) AS g, CAST(floor(x[4] / 150) AS BIGINT) AS h FROM u),
+n AS (SELECT id, x, g + i AS g, h + j AS h FROM c, range(-1, 2) a(i), range(-1, 2) b(j)),
+e AS (SELECT DISTINCT n.id AS a, c.id AS b FROM n JOIN c USING (g, h) WHERE n.id <> c.id AND list_distance(n.x, c.x) <= 150),
+k(id, root) USING KEY (id) AS (SELECT a, least(a, min(b)) FROM e GROUP BY a UNION
+  SELECT e.b, min(k.root) FROM k JOIN e ON e.a = k.id JOIN recurring.k AS r ON r.id = e.b WHERE k.root < r.root GROUP BY e.b),
+found AS (SELECT root AS cluster_id, id AS sample_id FROM (SELECT root, id, count(*) OVER (PARTITION BY root) AS n FROM k) s WHERE n >= 3)"""
+_MEAN = ", ".join(f"avg(x[{i}])" for i in range(1, BANDS + 1))
 
 
 def oracle_sql() -> dict:
-    """SQL of the queries that it can express; a round trip leaves nothing over."""
-    return {"p2_found": _FOUND, "p6_round_trip": "SELECT doc_id FROM documents WHERE false"}
+    """SQL of the queries that it can express."""
+    return {
+        "p2_found": _FOUND, "p2_plan": _PLAN, "p3_audit": _AUDIT, "p4_found": f"WITH RECURSIVE {_CLUSTERS} SELECT cluster_id, sample_id FROM found",
+        "p4_clusters": f"""WITH RECURSIVE {_CLUSTERS}, q AS (SELECT cluster_id, sample_id, min(x) AS x FROM found JOIN u ON id = sample_id GROUP BY ALL), m AS (SELECT cluster_id, count(*) AS size, [{_MEAN}] AS mean FROM q GROUP BY 1),
+d AS (SELECT cluster_id, size, sample_id, round(list_distance(x, mean), 6) AS distance FROM q JOIN m USING (cluster_id)), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY distance, sample_id) AS INTEGER) AS rank FROM d)
+SELECT cluster_id, size, rank, sample_id, distance FROM o WHERE rank <= 3""",
+        "p6_round_trip": "SELECT doc_id, md5(coalesce(text, '')) AS decoded FROM documents",
+    }

@@ -50,9 +50,8 @@ def byte_symbols() -> list[str]:
 class ByteBpe:
     """Vocabulary and merges of one tokenizer file, with a memo of pre-tokens."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, path: str, text: bytes | None = None):
+        model = json.loads(_content(path) if text is None else text)["model"]
         symbols, vocab = byte_symbols(), model["vocab"]
         self.byte_id = [vocab[s] for s in symbols]
         pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in model["merges"]]
@@ -186,17 +185,31 @@ class _Memo(dict):
         return got
 
 
+#: Bytes that a tokenizer file may have to be sent to the executors.
+FILE_BYTES = 64_000_000
 _LOADED: dict[str, ByteBpe] = {}
 
 
-def load(path: str) -> ByteBpe:
-    """The tokenizer of ``path``, read once per worker process."""
+def load(path: str, text: bytes | None = None) -> ByteBpe:
+    """The tokenizer of ``path`` (whose content is ``text``), read once per worker process."""
     if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
+        _LOADED[path] = ByteBpe(path, text)
         gc.freeze()  # the vocabulary stays; collections need not walk it again
     return _LOADED[path]
 
 
+def _content(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def _sent(df: DataFrame, path: str):
+    """The tokenizer file, read by the driver and sent to the executors, which need no copy of it."""
+    if os.path.getsize(path) > FILE_BYTES:
+        raise ValueError(f"{path} has more than {FILE_BYTES} bytes")
+    return df.sparkSession.sparkContext.broadcast(_content(path))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k", folder: str | None = None) -> str:
     """Parameter > environment variable GRIDLOOM_TOKENIZERS > default folder."""
     return os.path.join(folder or os.environ.get("GRIDLOOM_TOKENIZERS", DEFAULT_DIR), f"{name}.json")
@@ -211,10 +224,10 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, path: str) -> DataF
     A narrow map without shuffle: only the two columns are scanned, the text is
     handled in small slices so that a batch of long texts stays small.
     """
-    kind = df.schema[id_col].dataType.simpleString()
+    kind, sent = df.schema[id_col].dataType.simpleString(), _sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(path, sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
@@ -231,10 +244,10 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, path: str) -> DataF
 
 def decode_column(df: DataFrame, id_col: str, ids_col: str, path: str) -> DataFrame:
     """``(id_col, text)``: the text of each row's ids; null ids give ``''``."""
-    kind = df.schema[id_col].dataType.simpleString()
+    kind, sent = df.schema[id_col].dataType.simpleString(), _sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(path, sent.value)
         for batch in batches:
             text = pa.array([bpe.decode(i.as_py()) for i in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), text], names=["k", "text"])
