@@ -41,6 +41,13 @@ def point_xy(geometry: Column) -> tuple[Column, Column]:
     return point_of(geometry)["x"], point_of(geometry)["y"]
 
 
+def parse_point(text: str | None) -> tuple[float, float] | None:
+    """The point of a text, as :func:`point_of` reads it, None if there is none."""
+    m = re.match(_POINT, text) if text else None
+    point = (float(m[1] or m[3]), float(m[2] or m[4])) if m else None
+    return point if point and all(map(math.isfinite, point)) else None
+
+
 def _numbers(text: str) -> list[tuple[float, float]]:
     ring = []
     for pair in text.split(","):
@@ -91,7 +98,8 @@ def parse_polygon(text: str | None) -> list[list[list[tuple[float, float]]]]:
     return out
 
 
-def _area(ring) -> float:
+def ring_area(ring) -> float:
+    """Area of a ring, negative if it runs with the clock."""
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
 
 
@@ -169,9 +177,9 @@ def triangulate(rings) -> list:
     even-odd rule, is cut into horizontal slabs instead. The sum of areas tells.
     """
     outer, *holes = rings
-    want = abs(_area(outer)) - sum(abs(_area(h)) for h in holes)
-    ring = outer if _area(outer) > 0 else outer[::-1]
-    holes = sorted((h if _area(h) < 0 else h[::-1] for h in holes), key=lambda h: -max(v[0] for v in h))
+    want = abs(ring_area(outer)) - sum(abs(ring_area(h)) for h in holes)
+    ring = outer if ring_area(outer) > 0 else outer[::-1]
+    holes = sorted((h if ring_area(h) < 0 else h[::-1] for h in holes), key=lambda h: -max(v[0] for v in h))
     for k, hole in enumerate(holes):
         ring = _join_hole(ring, hole, holes[k + 1 :])
     got = _ears(ring)

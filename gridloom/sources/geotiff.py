@@ -354,7 +354,9 @@ class _Reader(DataSourceReader):
             return [_Part(p, 0, 1) for p, _ in files]
         return [_Part(p, k, n) for p, size in files for n in [max(1, -(-size // TASK_BYTES))] for k in range(n)]
 
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: _Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # there is no file
+            return
         if self.only_metadata:
             kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
             columns = [c.split(" ") for c in METADATA.split(", ")]

@@ -206,6 +206,10 @@ def test_rasters_written_from_pixels(spark, tmp_path, big):
     assert set(got) == {(r, c) for r in range(32, 70) for c in range(40)} and got[64, 33] == want["one"][1, 64, 33]
 
 
+def test_no_files(spark, tmp_path):
+    assert gt.read_rasters(spark, str(tmp_path)).count() == gt.read_grids(spark, str(tmp_path / "*.tif")).count() == 0
+
+
 def test_class_map(spark, tmp_path):
     pixels = spark.createDataFrame([("m", r, c, (r + c) % 7) for r in range(9) for c in range(5)], "raster_id string, row_idx long, col_idx long, prediction int")
     grid = spark.createDataFrame([("m", 5, 9, 1.0, -1.0, 0.0, 0.0)], "raster_id string, width int, height int, a double, e double, c double, f double")
