@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,23 @@ def wildcard(pattern: str) -> str:
     return fnmatch.translate(pattern).replace(r"\Z", "$").replace(r"\z", "$")
 
 
+#: Names of output files; what stands in braces are columns.
+OUTPUTS = {
+    "stack": "{tile}_{date}.tif", "masked_stack": "{tile}_{date}_stack.tif", "area": "{tile}_{date}_AOI.tif", "overlap": "poly_{poly}_{height}_{width}.tif", "named_overlap": "{stem}_poly_{poly}_{height}_{width}.tif",
+    "tile_overlap": "poly_{poly}_{tile}.tif", "corrected": "{stem}Corr.tif", "training": "{stem}_training_data.json", "class_map": "{stem}_classification_map__{run}.json",
+}
+
+
+def output_name(kind: str, **columns: Column) -> Column:
+    """The name of an output file; an unknown kind or a missing column is a ``ValueError``."""
+    if kind not in OUTPUTS:
+        raise ValueError(f"unknown output {kind}; known are {sorted(OUTPUTS)}")
+    pieces = re.split(r"\{(\w+)\}", OUTPUTS[kind])
+    if missing := [p for p in pieces[1::2] if p not in columns]:
+        raise ValueError(f"{kind} needs {missing}")
+    return F.concat(*[columns[p].cast("string") if k % 2 else F.lit(p) for k, p in enumerate(pieces) if p])
+
+
 #: Binary prefixes in ascending order.
 PREFIXES = ["", "Ki", "Mi", "Gi", "Ti", "Pi", "Ei", "Zi"]
 

@@ -1,8 +1,9 @@
-"""Scalar expressions of band arithmetic. All stay inside generated code."""
+"""Scalar expressions of band arithmetic, all built-in functions; only rings of very many edges leave generated code."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,14 +75,29 @@ def index_column(name: str, bands: list[Column], scale: int = 1000) -> Column:
     return scaled(INDEXES[name](*bands), scale)
 
 
-def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Is the point inside the ring? By the parity of edges crossed to its right.
+#: Edges that are tested one by one in generated code; more become one array literal, so that the plan does not grow with them.
+PLAIN_EDGES = 64
 
-    The ring's edges are one array literal, so the plan does not grow with them.
-    """
-    edges = [(a, b) for a, b in zip(ring, ring[1:] + ring[:1]) if a[1] != b[1]]
+
+def in_piece(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:
+    """Is the point inside an outline and outside its holes? By the parity of edges crossed to its right."""
+    edges = [(a, b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1]) if a[1] != b[1]]
     if not edges:
         return F.lit(False)
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in (*a, *b)]) for a, b in edges])
-    crosses = lambda e: ((e[1] > y) != (e[3] > y)) & (x < (e[2] - e[0]) * (y - e[1]) / (e[3] - e[1]) + e[0])
-    return F.pmod(F.aggregate(rows, F.lit(0), lambda n, e: n + F.when(crosses(e), 1).otherwise(0)), F.lit(2)) == 1
+    one = lambda x1, y1, x2, y2: F.when(((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1), 1).otherwise(0)
+    if len(edges) <= PLAIN_EDGES:
+        crossed = reduce(lambda n, c: n + c, [one(*[F.lit(float(v)) for v in (*a, *b)]) for a, b in edges])
+    else:
+        rows = F.array(*[F.array(*[F.lit(float(v)) for v in (*a, *b)]) for a, b in edges])
+        crossed = F.aggregate(rows, F.lit(0), lambda n, e: n + one(e[0], e[1], e[2], e[3]))
+    return F.pmod(crossed, F.lit(2)) == 1
+
+
+def in_region(x: Column, y: Column, pieces: list[list[list[tuple[float, float]]]]) -> Column:
+    """Is the point inside any piece of a region?"""
+    return reduce(lambda a, b: a | b, [in_piece(x, y, rings) for rings in pieces], F.lit(False))
+
+
+def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    """Is the point inside the ring?"""
+    return in_piece(x, y, [ring])

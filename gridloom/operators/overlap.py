@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.grid import boxes_meet
+from gridloom.functions.names import output_name
+from gridloom.operators.grid import boxes_meet, with_bounds
+
+#: Rows and columns of the blocks on which pixels and windows are joined.
+WINDOW_BLOCK = 128
 
 
 def _celled(boxes: DataFrame, size: float, prefix: str) -> DataFrame:
@@ -30,6 +34,17 @@ def box_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return a.join(b, ["gx", "gy"]).filter(meet & home).drop("gx", "gy")
 
 
+def box_semi(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """``(id,)`` of the left boxes that meet at least one right box; no pair is made.
+
+    A semi-join on the coarse cells: a box leaves at most one row per cell that
+    it covers, however many boxes it meets there.
+    """
+    a, b = _celled(left, cell, "a"), _celled(right, cell, "b")
+    meet = boxes_meet(*[F.col(f"a_{c}") for c in ("left", "bottom", "right", "top")], *[F.col(f"b_{c}") for c in ("left", "bottom", "right", "top")])
+    return a.join(b, (a.gx == b.gx) & (a.gy == b.gy) & meet, "left_semi").select(F.col("a_id").alias("id")).distinct()
+
+
 def with_intersection(pairs: DataFrame) -> DataFrame:
     """Adds the common box; it has no area where the boxes only touch."""
     return pairs.withColumns({
@@ -54,16 +69,17 @@ def pairwise_overlaps(boxes: DataFrame, cell: float) -> DataFrame:
 def number_rows(df: DataFrame, order: str, name: str) -> DataFrame:
     """Consecutive numbers from 1 in the order of a column, without gathering the rows.
 
-    A range partitioning sorts them; each partition numbers its own rows and
-    adds the rows before it, of which only the counts meet in one place.
+    One range partitioning sorts them; the position within a partition is part
+    of the running id, and of the rows before a partition only the counts, one
+    per partition, meet in one place.
     """
     from gridloom.session import cut
 
-    ranged = cut(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "numbering")
-    inner = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()), "numbering")
+    part, rank = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return inner.join(before, "_part").withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")
+    return ranged.withColumn("_part", part).join(before, "_part").withColumn(name, rank + F.col("_before")).drop("_part", "_id", "_before")
 
 
 def reference_overlaps(boxes: DataFrame, reference, cell: float) -> DataFrame:
@@ -72,6 +88,67 @@ def reference_overlaps(boxes: DataFrame, reference, cell: float) -> DataFrame:
     return with_intersection(box_pairs(one, others, cell)).select(F.col("b_id").alias("id"), "left", "bottom", "right", "top")
 
 
+def clip_boxes(pixels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(raster_id, poly_id, height, width, c, f, pixel columns...)``: each raster clipped to each box wanted of it.
+
+    ``wanted`` has raster_id, poly_id, left, bottom, right, top and the raster's
+    own a, e, c, f, rows and cols. A box is rounded outward to a window and cut
+    to the raster; one without a common pixel gives no rows. Rows and columns
+    count from the window's corner, and only pixels whose centre lies in the box
+    are there. Windows and pixels are joined on the raster's blocks, so a large
+    raster is no single key.
+    """
+    col = lambda x, f: f((F.col(x) - F.col("c")) / F.col("a")).cast("long")
+    row = lambda y, f: f((F.col(y) - F.col("f")) / F.col("e")).cast("long")
+    zero = F.lit(0).cast("long")
+    windows = wanted.withColumns({"_c0": F.greatest(col("left", F.floor), zero), "_c1": F.least(col("right", F.ceil), F.col("cols")), "_r0": F.greatest(row("top", F.floor), zero), "_r1": F.least(row("bottom", F.ceil), F.col("rows"))}).filter("_c1 > _c0 and _r1 > _r0")
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / WINDOW_BLOCK), F.floor((F.col(hi) - 1) / WINDOW_BLOCK)))
+    spread = windows.withColumn("_br", span("_r0", "_r1")).withColumn("_bc", span("_c0", "_c1"))
+    keyed = pixels.withColumns({"_br": F.floor(F.col("row_idx") / WINDOW_BLOCK), "_bc": F.floor(F.col("col_idx") / WINDOW_BLOCK)})
+    x, y = F.col("c") + (F.col("col_idx") + 0.5) * F.col("a"), F.col("f") + (F.col("row_idx") + 0.5) * F.col("e")
+    inside = (F.col("row_idx") >= F.col("_r0")) & (F.col("row_idx") < F.col("_r1")) & (F.col("col_idx") >= F.col("_c0")) & (F.col("col_idx") < F.col("_c1")) & x.between(F.col("left"), F.col("right")) & y.between(F.col("bottom"), F.col("top"))
+    met = keyed.join(spread, ["raster_id", "_br", "_bc"]).filter(inside)
+    rest = [c for c in pixels.columns if c not in ("raster_id", "row_idx", "col_idx")]
+    return met.select("raster_id", "poly_id", (F.col("_r1") - F.col("_r0")).cast("int").alias("height"), (F.col("_c1") - F.col("_c0")).cast("int").alias("width"), (F.col("c") + F.col("_c0") * F.col("a")).alias("c"), (F.col("f") + F.col("_r0") * F.col("e")).alias("f"), (F.col("row_idx") - F.col("_r0")).alias("row_idx"), (F.col("col_idx") - F.col("_c0")).alias("col_idx"), *rest)
+
+
+def _own_grid(grids: DataFrame) -> DataFrame:
+    return grids.select("raster_id", "a", "e", "c", "f", F.col("height").alias("rows"), F.col("width").alias("cols"))
+
+
+def clip_overlaps(pixels: DataFrame, grids: DataFrame, cell: float) -> DataFrame:
+    """Every raster clipped to every distinct overlap of two rasters, with the name of its file (see :func:`clip_boxes`)."""
+    feet = with_bounds(grids).select(F.col("raster_id").alias("id"), "left", "bottom", "right", "top")
+    polys = pairwise_overlaps(feet, cell)
+    met = box_pairs(feet, polys.withColumnRenamed("poly_id", "id"), cell)
+    wanted = met.select(F.col("a_id").alias("raster_id"), F.col("b_id").alias("poly_id"), *[F.col(f"b_{c}").alias(c) for c in ("left", "bottom", "right", "top")])
+    return clip_boxes(pixels, wanted.join(_own_grid(grids), "raster_id")).withColumn("name", output_name("overlap", poly=F.col("poly_id"), height=F.col("height"), width=F.col("width")))
+
+
+def clip_reference(pixels: DataFrame, grids: DataFrame, reference: str, cell: float) -> DataFrame:
+    """The areas that a reference raster shares with each other one, clipped from both, with the names of the files.
+
+    ``poly_id`` counts the other rasters in the order of their ids, from 1.
+    """
+    feet = with_bounds(grids).select(F.col("raster_id").alias("id"), "left", "bottom", "right", "top")
+    shared = reference_overlaps(feet, reference, cell)
+    order = number_rows(grids.filter(F.col("raster_id") != reference).select(F.col("raster_id").alias("id")), "id", "poly_id").select("id", F.col("poly_id"))
+    numbered = shared.join(order, "id")
+    both = numbered.select(F.explode(F.array("id", F.lit(reference))).alias("raster_id"), "poly_id", "left", "bottom", "right", "top")
+    return clip_boxes(pixels, both.join(_own_grid(grids), "raster_id")).withColumn("name", output_name("tile_overlap", poly=F.col("poly_id"), tile=F.split_part("raster_id", F.lit("_"), F.lit(1))))
+
+
+def cells_in_regions(pixels: DataFrame, regions: DataFrame, id_col: str, geometry_col: str, transform: tuple[float, float, float, float]) -> DataFrame:
+    """``(region, pixel columns...)`` of the pixels whose centre lies in a region of any shape; a pixel in several appears with each."""
+    from gridloom.operators.grid import centre_of
+    from gridloom.operators.proximity import inside_regions, triangles_of
+
+    x, y = centre_of(F.col("row_idx"), F.col("col_idx"), *transform)
+    cell = F.struct("row_idx", "col_idx")
+    found = inside_regions(pixels.select(cell.alias("id"), x.alias("x"), y.alias("y")), triangles_of(regions, id_col, geometry_col))
+    return found.select(F.col("poly").alias("region"), "id.row_idx", "id.col_idx").join(pixels, ["row_idx", "col_idx"])
+
+
 def cells_in_boxes(pixels: DataFrame, boxes: DataFrame, block: int) -> DataFrame:
     """``(box id, pixel columns...)`` of the pixels whose centre lies in a box.
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.numeric import in_ring, index_column
-from gridloom.operators.grid import centre_of
+from gridloom.functions.geometry import parse_polygon
+from gridloom.functions.numeric import in_region, index_column
+from gridloom.operators.grid import centre_of, with_bounds
 
 CELL = ["row_idx", "col_idx"]
 #: Scene classes that hide the ground, and what masked pixels hold.
@@ -62,18 +64,47 @@ def mask_by(pixels: DataFrame, mask: DataFrame, bands: list[str], fill=FILL) ->
     return apply_mask(pixels.join(mask.select(*CELL, "masked"), CELL), bands, F.col("masked"), fill).drop("masked")
 
 
-def clip(pixels: DataFrame, ring: list[tuple[float, float]], transform: tuple[float, float, float, float]) -> DataFrame:
-    """Pixels whose centre lies in a polygon; no overlap gives no rows.
+def pieces_of(region) -> list:
+    """Pieces (outline and holes each) of a region: a ring of vertices, such pieces, or WKT or GeoJSON text.
 
-    The polygon's box becomes a range of row and column numbers first, which the
+    A text that states none is a ``ValueError``.
+    """
+    pieces = parse_polygon(region) if isinstance(region, str) else [[region]] if region and isinstance(region[0][0], int | float) else region
+    if not pieces:
+        raise ValueError("no readable region")
+    return pieces
+
+
+def clip(pixels: DataFrame, region, transform: tuple[float, float, float, float]) -> DataFrame:
+    """Pixels whose centre lies in a region (see :func:`pieces_of`); no overlap gives no rows.
+
+    The region's box becomes a range of row and column numbers first, which the
     scan can use; the edges are tested only within it.
     """
     a, e, c, f = transform
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    pieces = pieces_of(region)
+    xs, ys = ([v[k] for rings in pieces for v in rings[0]] for k in (0, 1))
     rows = sorted(((min(ys) - f) / e, (max(ys) - f) / e))
     near = F.col("row_idx").between(math.floor(rows[0]), math.ceil(rows[1])) & F.col("col_idx").between(math.floor((min(xs) - c) / a), math.ceil((max(xs) - c) / a))
     x, y = centre_of(F.col("row_idx"), F.col("col_idx"), a, e, c, f)
-    return pixels.filter(near).filter(in_ring(x, y, ring))
+    return pixels.filter(near).filter(in_region(x, y, pieces))
+
+
+def clip_raster(pixels: DataFrame, grid, region) -> tuple[DataFrame, tuple[int, int, int, int]]:
+    """:func:`clip` of a raster with its one row of grid metadata, and the crop window.
+
+    The rows are numbered from the corner of the window (col_off, row_off, width,
+    height), which is the region's box rounded outward and cut to the grid. A
+    region that the raster does not overlap is a ``ValueError``.
+    """
+    xs, ys = ([v[k] for rings in pieces_of(region) for v in rings[0]] for k in (0, 1))
+    cols, rows = ((min(xs) - grid["c"]) / grid["a"], (max(xs) - grid["c"]) / grid["a"]), ((max(ys) - grid["f"]) / grid["e"], (min(ys) - grid["f"]) / grid["e"])
+    left, right = max(math.floor(cols[0]), 0), min(math.ceil(cols[1]), grid["width"])
+    top, bottom = max(math.floor(rows[0]), 0), min(math.ceil(rows[1]), grid["height"])
+    if left >= right or top >= bottom:
+        raise ValueError("the region does not overlap the raster")
+    inside = clip(pixels, region, (grid["a"], grid["e"], grid["c"], grid["f"]))
+    return window(inside, left, top, right - left, bottom - top), (left, top, right - left, bottom - top)
 
 
 def clip_box(pixels: DataFrame, box: tuple[float, float, float, float], transform: tuple[float, float, float, float]) -> DataFrame:
@@ -103,28 +134,82 @@ def resample_nearest(pixels: DataFrame, scale: float, height: int | None = None,
     return out
 
 
-def resample_bilinear(pixels: DataFrame, bands: list[str], scale: float, height: int, width: int) -> DataFrame:
-    """Bilinear resampling: every target pixel weighs its (up to) four neighbours.
+def _cubic(x: Column) -> Column:
+    return F.when(x <= 1, (1.5 * x - 2.5) * x * x + 1).otherwise(((-0.5 * x + 2.5) * x - 4) * x + 2)
+
+
+def _spline(x: Column) -> Column:
+    return F.when(x <= 1, (3 * x - 6) * x * x / 6 + 2 / 3).otherwise((2 - x) * (2 - x) * (2 - x) / 6)
+
+
+def _lanczos(x: Column) -> Column:
+    return F.when(x == 0, F.lit(1.0)).otherwise(3 * F.sin(math.pi * x) * F.sin(math.pi * x / 3) / (math.pi * math.pi * x * x))
+
+
+#: Resampling by weights: radius in pixels, and weight by distance.
+KERNELS: dict[str, tuple[int, Callable[[Column], Column]]] = {"bilinear": (1, lambda x: 1 - x), "cubic": (2, _cubic), "cubic_spline": (2, _spline), "lanczos": (3, _lanczos)}
+#: Resampling by a statistic of a block of pixels; quantiles are values that occur, of equally frequent ones the smallest counts.
+STATISTICS: dict[str, Callable[[str], Column]] = {
+    "average": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "rms": lambda b: F.sqrt(F.avg(F.col(b) * F.col(b))), "mode": lambda b: F.mode(b, True),
+    **{name: lambda b, q=q: F.expr(f"percentile_disc({q}) within group (order by `{b}`)") for name, q in (("q1", 0.25), ("med", 0.5), ("q3", 0.75))},
+}
+
+
+def resample(pixels: DataFrame, bands: list[str], scale: float, method: str = "nearest", height: int | None = None, width: int | None = None) -> DataFrame:
+    """Resampling by ``scale`` with any method: nearest, a kernel (needs the size), or a statistic of blocks.
+
+    Statistics are of the whole blocks that a scale of one over an integer makes;
+    another scale or method is a ``ValueError``.
+    """
+    if method == "nearest":
+        return resample_nearest(pixels.select(*CELL, *bands), scale, height, width)
+    if method in KERNELS:
+        if height is None or width is None:
+            raise ValueError(f"{method} needs the raster's height and width")
+        return resample_kernel(pixels, bands, scale, height, width, method)
+    if method not in STATISTICS:
+        raise ValueError(f"unknown method {method}; known are {['nearest', *KERNELS, *STATISTICS]}")
+    factor = round(1 / scale)
+    if abs(factor * scale - 1) > 1e-9:
+        raise ValueError(f"{method} needs a scale of one over an integer")
+    return resample_statistic(pixels, bands, factor, method)
+
+
+def resample_kernel(pixels: DataFrame, bands: list[str], scale: float, height: int, width: int, method: str) -> DataFrame:
+    """Every target pixel weighs the source pixels around it.
 
     Each source pixel is sent to the targets it weighs in, and one aggregation
     sums them; weights are renewed at the border and where a neighbour is null.
+    Where pixels become larger the kernel widens with them.
     """
+    radius, weigh = KERNELS[method]
+    wide = max(1.0, 1.0 / scale)
     out = pixels.select(*CELL, *bands)
     for axis, size, weight in (("row_idx", height, "_wr"), ("col_idx", width, "_wc")):
         at = F.col(axis)
-        first = F.greatest(F.ceil((at - 0.5) * scale - 0.5), F.lit(0).cast("bigint"))
-        last = F.least(F.floor((at + 1.5) * scale - 0.5), F.lit(int(size * scale) - 1).cast("bigint"))
+        first = F.greatest(F.ceil((at + 0.5 - radius * wide) * scale - 0.5), F.lit(0).cast("bigint"))
+        last = F.least(F.floor((at + 0.5 + radius * wide) * scale - 0.5), F.lit(int(size * scale) - 1).cast("bigint"))
         targets = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-        out = out.withColumn("_t", F.explode(targets)).withColumn(weight, 1 - F.abs((F.col("_t") + 0.5) / scale - 0.5 - at)).filter(F.col(weight) > 0)
-        out = out.withColumn(axis, F.col("_t")).drop("_t")
+        out = out.withColumn("_t", F.explode(targets)).withColumn("_d", F.abs((F.col("_t") + 0.5) / scale - 0.5 - at) / wide).filter(F.col("_d") < radius)
+        out = out.withColumn(weight, weigh(F.col("_d"))).withColumn(axis, F.col("_t")).drop("_t", "_d")
     w = F.col("_wr") * F.col("_wc")
     return out.groupBy(*CELL).agg(*[F.try_divide(F.sum(w * F.col(b)), F.sum(F.when(F.col(b).isNotNull(), w))).alias(b) for b in bands])
 
 
+def resample_bilinear(pixels: DataFrame, bands: list[str], scale: float, height: int, width: int) -> DataFrame:
+    """Bilinear resampling: every target pixel weighs its (up to) four neighbours."""
+    return resample_kernel(pixels, bands, scale, height, width, "bilinear")
+
+
+def resample_statistic(pixels: DataFrame, bands: list[str], factor: int, method: str) -> DataFrame:
+    """A statistic over blocks of ``factor`` x ``factor`` pixels; nulls do not count."""
+    cell = [F.floor(F.col(c) / factor).alias(c) for c in CELL]
+    return pixels.groupBy(*cell).agg(*[STATISTICS[method](b).alias(b) for b in bands])
+
+
 def resample_average(pixels: DataFrame, bands: list[str], factor: int) -> DataFrame:
     """Mean over blocks of ``factor`` x ``factor`` pixels; nulls do not count."""
-    cell = [F.floor(F.col(c) / factor).alias(c) for c in CELL]
-    return pixels.groupBy(*cell).agg(*[F.avg(b).alias(b) for b in bands])
+    return resample_statistic(pixels, bands, factor, "average")
 
 
 def mosaic(layers: DataFrame, nodata: float | None) -> DataFrame:
@@ -142,6 +227,29 @@ def mosaic(layers: DataFrame, nodata: float | None) -> DataFrame:
     return placed.groupBy("band", *CELL).agg(F.max_by("value", "src_pos").alias("value"))
 
 
+def mosaic_rasters(pixels: DataFrame, grids: DataFrame) -> tuple[DataFrame, dict]:
+    """Rasters laid over each other on a grid of their own: ``(cells, grid)``.
+
+    ``pixels`` is (raster_id, band, row_idx, col_idx, value), ``grids`` has
+    raster_id, src_pos, a, e, c, f, width, height, nodata and band_count. The
+    grid covers all rasters with the pixel size and the bands of the first, its
+    size rounded up; the last raster with data wins, each raster's own nodata is
+    transparent, and cells without data hold 0. An empty table of grids is a
+    ``ValueError``. The extent is one aggregated row.
+    """
+    first = lambda c: F.min_by(c, "src_pos").alias(c)
+    row = with_bounds(grids).agg(F.min("left").alias("west"), F.min("bottom").alias("south"), F.max("right").alias("east"), F.max("top").alias("north"), first("a"), first("e"), first("band_count")).first()
+    if row.west is None:
+        raise ValueError("no rasters to lay over each other")
+    grid = {"a": row.a, "e": row.e, "c": row.west, "f": row.north, "width": math.ceil((row.east - row.west) / row.a), "height": math.ceil((row.north - row.south) / -row.e), "band_count": row.band_count}
+    placed = pixels.filter(F.col("band") <= grid["band_count"]).join(grids.select("raster_id", "src_pos", "a", "e", "c", "f", "nodata"), "raster_id")
+    x, y = F.col("c") + F.col("col_idx") * F.col("a"), F.col("f") + F.col("row_idx") * F.col("e")
+    placed = placed.select("src_pos", "band", F.bround((F.lit(grid["f"]) - y) / -grid["e"]).cast("bigint").alias("row_idx"), F.bround((x - grid["c"]) / grid["a"]).cast("bigint").alias("col_idx"), "value", "nodata")
+    seen = placed.filter("value is not null and not (value <=> nodata)")
+    cells = seen.groupBy("band", *CELL).agg(F.max_by("value", "src_pos").alias("value")).filter(F.col("row_idx").between(0, grid["height"] - 1) & F.col("col_idx").between(0, grid["width"] - 1))
+    return fill_grid(cells, grid["band_count"], grid["height"], grid["width"]), grid
+
+
 def fill_grid(cells: DataFrame, bands: int, height: int, width: int, value: float = 0.0) -> DataFrame:
     """Every cell of the grid, with ``value`` where ``cells`` has none."""
     spark = cells.sparkSession

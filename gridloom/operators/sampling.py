@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gridloom.operators.grid import cell_of
 
 MASK = 9999
+#: Ranges of the hash that a split counts per label.
+SPLIT_RANGES = 1024
 
 
 def points_to_pixels(points: DataFrame, pixels: DataFrame, transform: tuple[float, float, float, float]) -> DataFrame:
@@ -46,6 +48,36 @@ def add_class(samples: DataFrame, width: int, value: float) -> DataFrame:
     return samples.select("features", "label").unionByName(fresh.select(F.array_repeat(F.lit(float(value)), width).alias("features"), F.col("label").cast(samples.schema["label"].dataType).alias("label")))
 
 
+def label_of(labels: DataFrame, name: str) -> int:
+    """The label id of a class; an unknown class is a ``KeyError``."""
+    row = labels.filter(F.col("classname") == name).select(F.trim("id").try_cast("double").cast("int").alias("id")).first()
+    if row is None or row.id is None:
+        raise KeyError(name)
+    return row.id
+
+
+def set_label(labels: DataFrame, name: str, label: int) -> DataFrame:
+    """``(classname, id)`` with a class set to a label, whether it was there or not."""
+    fresh = labels.sparkSession.createDataFrame([(name, str(label))], "classname string, id string")
+    return delete_label(labels, name).select("classname", F.col("id").cast("string").alias("id")).unionByName(fresh)
+
+
+def delete_label(labels: DataFrame, name: str) -> DataFrame:
+    """``(classname, id)`` without a class."""
+    return labels.filter(~F.col("classname").eqNullSafe(F.lit(name)))
+
+
+def add_named_class(samples: DataFrame, labels: DataFrame, name: str, width: int, value: float) -> tuple[DataFrame, DataFrame]:
+    """:func:`add_class` with an entry in the table of labels; of no samples none is added."""
+    top = samples.agg(F.max("label")).first()[0]
+    return add_class(samples, width, value), labels if top is None else set_label(labels, name, top + 1)
+
+
+def remove_named_class(samples: DataFrame, labels: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The samples and the table of labels without a class; an unknown one is a ``KeyError``."""
+    return remove_class(samples, label_of(labels, name)), delete_label(labels, name)
+
+
 def remove_class(samples: DataFrame, label: int) -> DataFrame:
     """All rows but those of one class; rows without label stay."""
     return samples.filter(~F.coalesce(F.col("label") == label, F.lit(False)))
@@ -59,18 +91,22 @@ def band_columns(samples: DataFrame, width: int) -> DataFrame:
 def stratified_split(samples: DataFrame, key: str, label: str, test_share: float, seed: int = 42) -> DataFrame:
     """Adds is_test: exactly the rounded-up share of every label, by a hash order of the key.
 
-    The rank within a label needs a sort of the label's rows; a hot label is
-    cut by ranges of the hash first, so only the range that holds the boundary
-    has to be ranked.
+    Rows of equal key and label count one by one if their keys differ from all
+    others'; give a key that is unique. The order is cut at one place per label:
+    counts by ranges of the hash find the range that holds it, only the keys of
+    that range are ranked, and all rows are compared with the place, so none is
+    sorted and only keys and labels are read for it.
     """
-    buckets = 1024
-    keyed = samples.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(buckets)))
-    sizes = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(label).orderBy("_b")
-    limits = sizes.withColumn("_before", F.sum("_n").over(along) - F.col("_n")).withColumn("_want", F.ceil(F.sum("_n").over(Window.partitionBy(label)) * test_share))
-    joined = keyed.alias("k").join(limits.alias("l"), F.expr(f"k.`{label}` <=> l.`{label}` and k._b = l._b")).select("k.*", "l._before", "l._n", "l._want")
-    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)) + F.col("_before")
-    return joined.withColumn("is_test", rank <= F.col("_want")).drop("_h", "_b", "_before", "_n", "_want")
+    place = F.struct(F.pmod(F.shiftright(F.xxhash64(F.col(key), F.lit(seed)), 20), F.lit(SPLIT_RANGES)).alias("b"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(key).alias("k"))
+    keyed = samples.select(F.col(label).alias("_label"), place.alias("_at"))
+    sizes = keyed.groupBy("_label", F.col("_at.b").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy("_label").orderBy("_b")  # at most SPLIT_RANGES rows a label
+    sizes = sizes.withColumn("_before", F.sum("_n").over(along) - F.col("_n")).withColumn("_want", F.ceil(F.sum("_n").over(Window.partitionBy("_label")) * test_share))
+    edge = sizes.filter("_before < _want and _before + _n >= _want").select(F.col("_label").alias("_own"), "_b", (F.col("_want") - F.col("_before")).alias("_rank"))
+    ranked = keyed.join(edge, F.expr("_label <=> _own and _at.b = _b")).withColumn("_r", F.row_number().over(Window.partitionBy("_label").orderBy("_at")))
+    last = ranked.filter("_r = _rank").select(F.col("_label").alias("_own"), F.col("_at").alias("_last"))
+    joined = samples.withColumn("_at", place).join(last, F.col(label).eqNullSafe(F.col("_own")), "left")
+    return joined.withColumn("is_test", F.coalesce(F.col("_at") <= F.col("_last"), F.lit(False))).drop("_at", "_own", "_last")
 
 
 def chunks(df: DataFrame, order: str, size: int) -> DataFrame:
@@ -80,6 +116,28 @@ def chunks(df: DataFrame, order: str, size: int) -> DataFrame:
     return number_rows(df, order, "_number").withColumn("chunk", F.floor((F.col("_number") - 1) / size)).drop("_number")
 
 
+def outside_cover(points: DataFrame, pixels: DataFrame, value: Column, transform: tuple[float, float, float, float], block: int, threshold: float) -> DataFrame:
+    """Points strictly inside a block of the raster, with ``taken``: is the pixel's value neither above the threshold nor 0?
+
+    Adds tile_row and tile_col, the block that the point lies in.
+    """
+    from gridloom.operators.grid import strictly_within
+
+    a, e, c, f = transform
+    seen = points_to_pixels(points, pixels, transform).withColumn("_v", value)
+    seen = seen.withColumns({"tile_row": F.floor(F.col("row_idx") / block), "tile_col": F.floor(F.col("col_idx") / block)})
+    left, top = c + F.col("tile_col") * block * a, f + F.col("tile_row") * block * e
+    inside = strictly_within(F.col("x"), F.col("y"), left, top + block * e, left + block * a, top)
+    return seen.filter(inside).withColumn("taken", F.coalesce(~(F.col("_v") > threshold) & (F.col("_v") != 0), F.lit(False))).drop("_v")
+
+
+def cover_counts(points: DataFrame, seen: DataFrame) -> DataFrame:
+    """One row of counters: all points, those within the raster, taken and excluded ones, and blocks with a taken point."""
+    block = F.when(F.col("taken"), F.struct("tile_row", "tile_col"))
+    found = seen.agg(F.count(F.lit(1)).alias("found"), F.count_if("taken").alias("taken"), F.count_if(~F.col("taken")).alias("excluded"), F.count_distinct(block).alias("blocks")).withColumn("one", F.lit(1))
+    return points.agg(F.count(F.lit(1)).alias("total")).withColumn("one", F.lit(1)).join(found, "one").drop("one")  # one row each
+
+
 def front_pairs(df: DataFrame, key: str) -> DataFrame:
     """``(a, b)``: every pair of different values, the smaller first.
 

@@ -229,10 +229,18 @@ def bands_correlation(spark: SparkSession, d: str) -> DataFrame:
     return cal.bands_correlation(pairs(spark, d)).select("band", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "mean_diff")
 
 
-@query()
+#: Normal equations of the centred and scaled x, solved by determinants.
+_DET = "{0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6})"
+_D0, _D1, _D2 = (_DET.format(*m) for m in (("t0", "s1", "s2", "t1", "s2", "s3", "t2", "s3", "s4"), ("n", "t0", "s2", "s1", "t1", "s3", "s2", "t2", "s4"), ("n", "s1", "t0", "s1", "s2", "t1", "s2", "s3", "t2")))
+
+
+@query(f"""WITH {PAIRS}, st AS (SELECT band, avg(x) AS m, stddev_pop(x) AS s FROM pairs GROUP BY 1), z AS (SELECT band, m, s, (x - m) / s AS z, y FROM pairs JOIN st USING (band)),
+k AS (SELECT band, m, s, CAST(count(*) AS DOUBLE) AS n, sum(z) AS s1, sum(z * z) AS s2, sum(z * z * z) AS s3, sum(z * z * z * z) AS s4, CAST(sum(y) AS DOUBLE) AS t0, sum(z * y) AS t1, sum(z * z * y) AS t2 FROM z GROUP BY 1, 2, 3),
+c AS (SELECT band, m, s, ({_D0}) / d AS c0, ({_D1}) / d AS c1, ({_D2}) / d AS c2 FROM (SELECT *, {_DET.format('n', 's1', 's2', 's1', 's2', 's3', 's2', 's3', 's4')} AS d FROM k) q)
+SELECT CAST(band AS INTEGER) AS band, CAST(unnest([0, 1, 2]) AS INTEGER) AS power, round(unnest([c0 - c1 * m / s + c2 * m * m / (s * s), c1 / s - 2 * c2 * m / (s * s), c2 / (s * s)]), 4) + 0.0 AS coefficient FROM c""")
 def poly_degree2(spark: SparkSession, d: str) -> DataFrame:
-    """Quadratic fit per band; tested against a direct solution."""
-    return cal.polynomial_fit(pairs(spark, d), 2).select("band", "power", F.round("coefficient", 4).alias("coefficient"))
+    """Quadratic fit per band."""
+    return cal.polynomial_fit(pairs(spark, d), 2).select("band", "power", (F.round("coefficient", 4) + 0.0).alias("coefficient"))
 
 
 @query(f"WITH {PAIRS}, m AS (SELECT band, regr_r2(y, x) AS r2 FROM pairs GROUP BY 1) SELECT CAST(band AS INTEGER) AS band, round(r2, 8) AS r2 FROM m")
@@ -308,7 +316,7 @@ def image_semi_join(spark: SparkSession, d: str) -> DataFrame:
     """Footprints that hold at least one point: cells first, then the exact test, each footprint once."""
     e = table(spark, d, "events").select(F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"))
     dots = e.distinct().select(F.xxhash64("x", "y").alias("id"), F.col("x").alias("left"), F.col("y").alias("bottom"), F.col("x").alias("right"), F.col("y").alias("top"))
-    return ov.box_pairs(footprints(spark, d), dots, 100.0).select(F.col("a_id").alias("id")).distinct()
+    return ov.box_semi(footprints(spark, d), dots, 100.0)
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY 1")

@@ -8,6 +8,8 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,11 @@ def ship(spark: SparkSession) -> None:
     context._gridloom_shipped = True
 
 
+def activate(spark: SparkSession) -> None:
+    """Make the session the active one of this thread, by which data sources are looked up."""
+    SparkSession._get_j_spark_session_class(spark.sparkContext._jvm).setActiveSession(spark._jsparkSession)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, taken from ``spark.checkpoint.dir``.
 
@@ -85,6 +92,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """A folder of its own in the shared one, deleted at the end."""
+    path = f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    _FILES[path] = _file_system(spark, path)
+    try:
+        yield path
+    finally:
+        _delete(path)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table made by :func:`cut` that no later plan reads."""
     _delete(table._gridloom_path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.names import asset_fields, basename, dirname, scene_fields, wildcard
+from gridloom.functions.names import asset_fields, basename, dirname, scene_fields, size_text, wildcard
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -43,6 +43,34 @@ def lookup(catalog: DataFrame, keys: list[str]) -> DataFrame:
     return catalog.withColumn("pos", F.array_position(wanted, F.col("key")) - 1).filter("pos >= 0")
 
 
+def lookup_all(catalog: DataFrame, keys: list[str]) -> DataFrame:
+    """``(pos, key, ...)``: a row for every request, with nulls where the catalogue has no such key."""
+    wanted = catalog.sparkSession.createDataFrame(list(enumerate(keys)), "pos int, key string")
+    return wanted.join(catalog, "key", "left").select("pos", "key", *[c for c in catalog.columns if c != "key"])
+
+
+def path_of(catalog: DataFrame, key: str) -> str:
+    """The path of one band; a missing key is a ``KeyError``. Of several files the last in path order counts."""
+    row = catalog.filter(F.col("key") == key).agg(F.max("fpath").alias("fpath")).first()
+    if row.fpath is None:
+        raise KeyError(key)
+    return row.fpath
+
+
+def attribute_of(catalog: DataFrame, key: str, attribute: str) -> str | None:
+    """The date or tile of one band, None if the key is missing."""
+    return catalog.filter(F.col("key") == key).agg(F.max_by(attribute, "fpath")).first()[0]
+
+
+def band_paths(fine: DataFrame, coarse: DataFrame, keys: list[str]) -> list[tuple[str, str, bool]]:
+    """``(key, path, is_fine)`` of every band, from the first catalogue that has it; a band of neither is a ``ValueError``."""
+    one = lambda c: {r.key: r.fpath for r in c.filter(F.col("key").isin(keys)).groupBy("key").agg(F.max("fpath").alias("fpath")).collect()}  # noqa: E731 one row a requested band
+    first, second = one(fine), one(coarse)
+    if missing := [k for k in keys if k not in first and k not in second]:
+        raise ValueError(f"bands {missing} were found in neither catalogue")
+    return [(k, first.get(k) or second[k], k in first) for k in keys]
+
+
 def band_fallback(first: DataFrame, second: DataFrame, group: list[str], bands: list[str]) -> DataFrame:
     """Per group and band the file of the first catalogue, else of the second; null fpath if neither has it."""
     groups = first.select(*group).union(second.select(*group)).distinct()
@@ -84,6 +112,23 @@ def cloud_cover(pixels: DataFrame, image: str, value: str) -> DataFrame:
     return whole.select(image, F.when((F.col("kinds") == 1) & (F.col("top") == 0), F.lit(0.1)).when(F.col("kinds") == 2, share).alias("cloud_pct"))
 
 
+def images_over_points(images: DataFrame, masks: DataFrame, points: DataFrame, flags: DataFrame, threshold: float, cell: float) -> DataFrame:
+    """``(fname, cloud_pct, line)`` of the images that hold a point and whose quality mask shows few clouds, with a report line each.
+
+    ``images`` has fname, size_bytes and a box (left, bottom, right, top), ``masks``
+    pairs fname with mask, ``points`` has x and y, ``flags`` has mask and value.
+    """
+    from gridloom.operators.overlap import box_semi
+
+    feet = images.select(F.col("fname").alias("id"), "left", "bottom", "right", "top")
+    dots = points.select("x", "y").distinct().select(F.xxhash64("x", "y").alias("id"), F.col("x").alias("left"), F.col("y").alias("bottom"), F.col("x").alias("right"), F.col("y").alias("top"))
+    over = box_semi(feet, dots, cell).withColumnRenamed("id", "fname")
+    clear = clear_images(cloud_cover(flags, "mask", "value"), threshold)
+    found = images.select("fname", "size_bytes").join(over, "fname", "left_semi").join(masks, "fname").join(clear, "mask")
+    line = F.format_string("File: %s: Size: %s CloudCoverage: %s", "fname", size_text(F.col("size_bytes")), F.col("cloud_pct").cast("string"))
+    return found.select("fname", "cloud_pct", line.alias("line"))
+
+
 def clear_images(cover: DataFrame, threshold: float) -> DataFrame:
     """Images below the threshold; a share that rounds to 0 drops out, as a null does."""
     return cover.filter((F.col("cloud_pct") < threshold) & (F.col("cloud_pct") != 0))

@@ -33,6 +33,25 @@ def training_document(samples: DataFrame, order: str, labels: DataFrame) -> Data
     return rows.join(names, "one").select(encode_twice(doc).alias("document"))
 
 
+def training_documents(samples: DataFrame, order: str, labels: DataFrame, rows: int) -> DataFrame:
+    """``(number, document)``: as :func:`training_document`, with at most ``rows`` samples in a document.
+
+    A set of any size becomes documents of bounded size; each has all labels.
+    """
+    from gridloom.operators.sampling import chunks
+
+    parts = chunks(samples.select(order, "features", "label"), order, rows).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct(order, "features", "label"))).alias("r"))
+    names = labels.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("classname", "id")))).alias("labels_map"))
+    doc = F.struct(F.col("r.features").alias("X"), F.col("r.label").alias("y"), "labels_map")
+    return parts.withColumn("one", F.lit(1)).join(F.broadcast(names.withColumn("one", F.lit(1))), "one").select(F.col("chunk").alias("number"), encode_twice(doc).alias("document"))  # one row
+
+
+def training_labels(documents: DataFrame) -> DataFrame:
+    """``(classname, id)`` of documents, each entry once."""
+    parsed = documents.select(decode_twice(F.col("document"), TRAINING)["labels_map"].alias("m"))
+    return parsed.select(F.explode("m").alias("classname", "id")).distinct()
+
+
 def training_rows(documents: DataFrame) -> DataFrame:
     """``(pos, features, label)`` of documents."""
     parsed = documents.select(decode_twice(F.col("document"), TRAINING).alias("d"))
@@ -50,5 +69,11 @@ def write_text(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_lines(df: DataFrame, column: str, order: list[str], path: str) -> None:
+    """One line per row, in order from the first part of the output to the last."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.trim("value").alias("document"))

@@ -523,7 +523,7 @@ def write_rasters(pixels: DataFrame, grids: DataFrame, path: str, dtype: str = "
     have = set(grids.columns)
     column = lambda c, t: (F.col(c) if c in have else F.lit(None)).cast(t).alias(c)
     grid = grids.select("raster_id", *[F.col(c).cast("int").alias(c) for c in ("width", "height")], *[column(c, "double") for c in "abcdef"], column("crs", "string"), column("nodata", "double"), column("band_count", "int"))
-    placed = pixels.join(grid.select("raster_id", "width", "height", "nodata"), "raster_id").filter("row_idx >= 0 and col_idx >= 0 and row_idx < height and col_idx < width and band >= 1 and value is not null")
+    placed = pixels.select("raster_id", "band", "row_idx", "col_idx", "value").join(grid.select("raster_id", "width", "height", "nodata"), "raster_id").filter("row_idx >= 0 and col_idx >= 0 and row_idx < height and col_idx < width and band >= 1 and value is not null")
     across = F.ceil(F.col("width") / block)
     tile = F.floor(F.col("row_idx") / block) * across + F.floor(F.col("col_idx") / block)
     cell = ((F.col("row_idx") % block) * block + F.col("col_idx") % block).cast("int")

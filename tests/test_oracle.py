@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gridloom.plans import analysis, proximity, rasters
+from gridloom.plans import analysis, proximity, rasters, workflows
 
-MODULES = (rasters, analysis, proximity)
+MODULES = (rasters, analysis, proximity, workflows)
 QUERIES = {k: q for m in MODULES for k, q in m.queries().items()}
 SQL = {k: s for m in MODULES for k, s in m.oracle_sql().items()}
 
@@ -37,6 +37,10 @@ def test_same_as_sql(spark, small, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+#: Thirty forests take minutes; test_workflows has the operator with small ones.
+LONG = {"rf_report"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - LONG))
 def test_runs(spark, small, name):
-    QUERIES[name](spark, small).limit(5).collect()
+    assert QUERIES[name](spark, small).count() > 0
