@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.skew import split_join
 from gridloom.session import cut, discard
 
 MASK = 9999.0
@@ -242,9 +243,10 @@ def clusters(df: DataFrame, id_col: str, vector_col: str, eps: float, dims: int,
     """
     points = _cell_keys(usable(df, id_col, vector_col, dims), eps, dims)
     roots = cell_clusters(points, eps, dims)
-    placed = points.select("id", "k1", "k2").join(roots, ["k1", "k2"]).select(F.col("root").alias("cluster_id"), F.col("id").alias("sample_id")).distinct()
-    big = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_size).select("cluster_id")
-    return placed.join(big, "cluster_id").select("cluster_id", "sample_id")
+    placed = cut(points.select("id", "k1", "k2").join(roots, ["k1", "k2"]).select(F.col("root").alias("cluster_id"), F.col("id").alias("sample_id")).distinct(), "p4-placed")
+    sizes = cut(placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "p4-sizes")
+    big = sizes.filter(F.col("n") >= min_size).select("cluster_id")
+    return split_join(placed, big, "cluster_id", sizes, "sample_id").select("cluster_id", "sample_id")
 
 
 def cell_clusters(points: DataFrame, eps: float, dims: int) -> DataFrame:
@@ -421,12 +423,13 @@ def describe(df: DataFrame, found: DataFrame, id_col: str, vector_col: str, dims
     The member with the smallest sum of squared distances to all members is the
     one nearest the mean, so medoids need one mean per cluster and no pairs;
     rank 1 is the medoid, ties go to the smaller id. Means combine before the
-    shuffle, and the ranking keeps only ``typical`` rows per task and cluster.
+    shuffle, large clusters are split over several tasks, and the ranking keeps
+    only ``typical`` rows of each part before the parts of a cluster meet.
     """
     vectors = usable(df, id_col, vector_col, dims).groupBy("id").agg(F.min("x").alias("x"))
-    placed = found.join(vectors, found.sample_id == vectors.id).select("cluster_id", "sample_id", "x")
-    means = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg(F.element_at("x", i + 1)) for i in range(dims)]).alias("mean"))
-    apart = F.sqrt(_apart("x", "mean"))
-    near = placed.join(means, "cluster_id").select("cluster_id", "size", "sample_id", F.round(apart, 6).alias("distance"))
-    order = Window.partitionBy("cluster_id").orderBy("distance", "sample_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= typical).select("cluster_id", "size", "rank", "sample_id", "distance")
+    placed = cut(found.join(vectors, found.sample_id == vectors.id).select("cluster_id", "sample_id", "x"), "p4-vectors")
+    means = cut(placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg(F.element_at("x", i + 1)) for i in range(dims)]).alias("mean")), "p4-means")
+    near = split_join(placed, means, "cluster_id", means.withColumnRenamed("size", "n"), "sample_id").select("cluster_id", "_salt", "size", "sample_id", F.round(F.sqrt(_apart("x", "mean")), 6).alias("distance"))
+    order = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "sample_id"))
+    few = near.withColumn("rank", order("cluster_id", "_salt")).filter(F.col("rank") <= typical)
+    return few.withColumn("rank", order("cluster_id")).filter(F.col("rank") <= typical).select("cluster_id", "size", "rank", "sample_id", "distance")

@@ -91,6 +91,22 @@ def test_unusable_and_repeated(spark):
     assert told[0] == (1, 3, 1, 1) and len(told) == 3
 
 
+def test_large_clusters_are_split(spark, monkeypatch):
+    """Parts of a cluster give the same members and medoids as the whole."""
+    from gridloom.operators import skew
+
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(0, 60, (300, 2)), rng.normal(3000, 20, (40, 2)), rng.uniform(-9000, -4000, (20, 2))]
+    df = frame(spark, np.arange(len(x)), x)
+    whole = dn.clusters(df, "sample_id", "x", 150.0, 2)
+    told = sorted(map(tuple, dn.describe(df, whole, "sample_id", "x", 2).collect()))
+    split = skew.split_join
+    monkeypatch.setattr(dn, "split_join", lambda *a, **k: split(*a, **k, most=25))
+    again = dn.clusters(df, "sample_id", "x", 150.0, 2)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, dn.describe(df, again, "sample_id", "x", 2).collect())) == told and len(told) >= 6
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(20, 21), (30, 20), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in dn.components(links, "t").collect()}
