@@ -132,6 +132,11 @@ _URL = re.compile(r"\b(?:https?://|www\.)\S+")
 _MAIL = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]+\.[\w.]+\b")
 #: Numbers, and dates written with them.
 _NUMBER = re.compile(r"\d+(?:[-/.,:]\d+)*")
+#: Names of the months in five languages.
+MONTHS = frozenset(
+    "january february march april may june july august september october november december januar februar märz mai juni juli oktober dezember janvier février mars avril juin juillet août septembre octobre "
+    "novembre décembre enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre gennaio febbraio aprile maggio giugno luglio settembre ottobre dicembre".split()
+)
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS), re.I)
 _MESSAGE = re.compile("|".join(f"(?:{p})" for p in [*ERRORS, *SCRIPTS]), re.I)
 _FILLER_COMMAND = re.compile(r"\\(?:lipsum|blindtext|Blindtext|blinddocument|kant|zeile)\*?(?:\[[^\]]*\])*")
@@ -292,6 +297,21 @@ def _open(text: str) -> str | None:
     return "text" if words < ARTICLE_WORDS else "long"
 
 
+def recurrence_key(text: str) -> bytes:
+    """The hash that a masked text is grouped by: words with digits, and months beside them, count as one number."""
+    if "0" not in text:
+        return _digest(text)
+    out, last = [], ""
+    words = ["0" if "0" in w else w for w in text.split(" ")]
+    for w, after in zip(words, [*words[1:], ""]):
+        if w.strip(",.") in MONTHS and "0" in (last, after):
+            w = "0"
+        if w != "0" or last != "0":
+            out.append(w)
+        last = w
+    return _digest(" ".join(out))
+
+
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()
 
@@ -312,7 +332,7 @@ def residue(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     schema = f"d {docs.schema[doc_id].dataType.simpleString()}, s {docs.schema[source].dataType.simpleString()}, key binary, part string, verdict string, title bigint, author bigint, abstract bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, str | None] = {}  # equal texts have equal verdicts: one classification per hash and task
+        known: dict[bytes, str | None] = {}  # equal texts have equal verdicts: one classification per text and task
         for batch in batches:
             rows = []
             if len(known) > KNOWN:
@@ -321,11 +341,12 @@ def residue(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
                 found, beside = {}, {}
                 for part, body in parts_of(t) if t and t.strip() else ():
                     if m := masked(body):
-                        key = _digest(m)
+                        key = recurrence_key(m)
                         beside.setdefault(part.removeprefix("cut "), int.from_bytes(key[:8], "little", signed=True))
-                        if key not in known:
-                            known[key] = classify(m) or _open(m)
-                        if verdict := known[key]:
+                        own = key if "0" not in m else _digest(m)
+                        if own not in known:
+                            known[own] = classify(m) or _open(m)
+                        if verdict := known[own]:
                             found.setdefault((key, part), verdict)
                 for (key, part), verdict in found.items():
                     rows.append((d, s, key, part, verdict, *(None if k == part else beside.get(k) for k in ("title", "author", "abstract"))))
