@@ -21,4 +21,4 @@ def split_join(rows: DataFrame, single: DataFrame, key: str, sizes: DataFrame, b
     hot = F.broadcast(sizes.filter(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("_parts")))  # at most rows / most
     dealt = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     repeated = single.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return dealt.join(repeated, [key, "_salt"], how)
+    return dealt.join(repeated.hint("merge"), [key, "_salt"], how)  # there may be as many keys as rows: never sent whole

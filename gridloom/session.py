@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -87,8 +88,10 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._gridloom_path = path
-    # every plan over the table, however derived, holds this one object of its scan
-    _HELD[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(back._jdf.queryExecution().analyzed().relation())
+    try:  # every plan over the table, however derived, holds this one object of its scan
+        _HELD[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(back._jdf.queryExecution().analyzed().relation())
+    except Py4JError:  # another kind of scan: kept to the end
+        _HELD[path] = None
     return back
 
 
