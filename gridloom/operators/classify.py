@@ -105,18 +105,24 @@ def _vectors(df: DataFrame, features: str) -> DataFrame:
     return df.withColumn("_features", array_to_vector(clean))
 
 
+#: Samples that are worth a task of their own in training.
+TASK_SAMPLES = 1000
+
+
 def train_forest(samples: DataFrame, features: str = "features", label: str = "label", trees: int = 200, seed: int = 42, depth: int = 10):
     """A random forest fitted on all samples; NaN and infinities count as 0.
 
-    Samples that lie in fewer partitions than there are cores are spread by a
-    hash of their features, as every level of the trees is a pass over them; the
-    node that each sample has reached is kept between the passes.
+    Every level of the trees is a pass over the samples, in which each task sums
+    up statistics of all nodes. Samples that lie in no more partitions than there
+    are cores are counted and spread anew, by a hash of their features, over as
+    many tasks as have work for it; the node that each sample has reached is
+    kept between the passes.
     """
     from pyspark.ml.classification import RandomForestClassifier
 
     cores = samples.sparkSession.sparkContext.defaultParallelism
-    if samples.rdd.getNumPartitions() < cores:
-        samples = samples.repartition(cores, F.xxhash64(features, label))
+    if samples.rdd.getNumPartitions() <= cores:
+        samples = samples.repartition(max(1, min(cores, -(-samples.count() // TASK_SAMPLES))), F.xxhash64(features, label))
     data = _vectors(samples, features).select("_features", F.col(label).cast("double").alias("_label"))
     return RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True).fit(data)
 

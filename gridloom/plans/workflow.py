@@ -12,6 +12,7 @@ from gridloom.operators import classify as cl
 from gridloom.operators import sampling as sp
 from gridloom.operators.grid import total_bounds
 from gridloom.operators.raster import CLOUD_CLASSES, FILL, add_indexes, apply_mask, clip_raster, mask_by, mask_values, resample_nearest, select_bands, stack, unstack, window
+from gridloom.session import cut
 from gridloom.sources import catalog as ct
 from gridloom.sources import documents as doc
 from gridloom.sources import geotiff as gt
@@ -268,14 +269,12 @@ def classify_scene(spark: SparkSession, folder: str, points: DataFrame, out: str
     written = stack(gt.pixels_of(gt.read_rasters(spark, path)), list(range(1, count + 1)))
 
     transform = (grid["a"], grid["e"], grid["c"], grid["f"])
-    samples = sp.extract(points, written, names, transform).withColumn("label", F.col("label"))
+    samples = sp.extract(points, written, names, transform)
     labels = sp.labels_map(points, "point_id")
     made, labels = sp.add_named_class(samples, labels, "masked", count, float(FILL))
     for name in drop:
         made, labels = sp.remove_named_class(made, labels, name)
     numbered = made.withColumn("key", F.xxhash64("features", "label", F.monotonically_increasing_id()))
-    from gridloom.session import cut
-
     training = cut(numbered, "training")
     doc.write_text(doc.training_documents(training, "key", labels, 50_000), "document", f"{out}/{stem}_training_data.json")
     grids = spark.createDataFrame([(None, *(grid[k] for k in ("width", "height", "a", "c", "e", "f", "crs")))], "raster_id string, width int, height int, a double, c double, e double, f double, crs string")

@@ -249,16 +249,23 @@ def scene_stack_files(spark: SparkSession, d: str) -> DataFrame:
         return cut(gt.pixels_of(gt.read_rasters(spark, path)).select("raster_id", "band", "row_idx", "col_idx", "value"), "read")
 
 
-@query()
+@query(f"""WITH {POINTS}, {PX}, h AS (SELECT (max(row_idx) + 1) // 2 AS h FROM px), g AS (SELECT x, y FROM pts, h WHERE x < 95 AND y > -2 * h),
+b AS (SELECT greatest(CAST(floor(min(x) / 2) AS BIGINT), 0) AS c0, least(CAST(ceil(max(x) / 2) AS BIGINT), 50) AS c1, greatest(CAST(floor(-max(y) / 2) AS BIGINT), 0) AS r0, least(CAST(ceil(-min(y) / 2) AS BIGINT), any_value(h)) AS r1 FROM g, h)
+SELECT i AS row_idx, j AS col_idx, true AS known FROM b, range(100000) a(i), range(50) c(j) WHERE i < r1 - r0 AND j < c1 - c0""")
 def classification_workflow(spark: SparkSession, d: str) -> DataFrame:
-    """From the files of a scene and labelled points to a class map, read from the raster it is written as; one run of thirty."""
+    """From the files of a scene and labelled points to a class map, read from the raster it is written as; one run of thirty.
+
+    Which class a cell gets is a matter of the forest; all cells of the area
+    around the points must have one of the training set's.
+    """
     ground = points(spark, d).filter("x < 95").select("point_id", (F.col("x") * 10 + 500_000).alias("x"), (F.col("y") * 10 + 9_900_000).alias("y"), "classname", F.col("id").cast("int").alias("id"))
     with scratch(spark, "scene") as folder:
         write_scene(spark, d, folder)
         inside = ground.filter(F.col("y") > 9_900_000 - 10 * (_height(spark, d) // 2 * 2))
         _, path = wf.classify_scene(spark, folder, inside, f"{folder}/out", runs=1)
         stem = path.rsplit("/", 1)[1].removesuffix(".tif")
-        return cut(gt.pixels_of(gt.read_rasters(spark, f"{folder}/out/{stem}_classification_map__1.tif")).select("row_idx", "col_idx", F.col("value").cast("int").alias("prediction")), "read")
+        top = inside.agg(F.max("id")).first()[0] + 1  # the class of masked pixels
+        return cut(gt.pixels_of(gt.read_rasters(spark, f"{folder}/out/{stem}_classification_map__1.tif")).select("row_idx", "col_idx", F.col("value").between(1, top).alias("known")), "read")
 
 
 @query(f"WITH {PX} SELECT row_idx * 2 + i AS row_idx, col_idx * 2 + j AS col_idx, CAST(scl IN (3, 7, 8, 9, 10) AS INTEGER) AS scl FROM px, range(2) a(i), range(2) b(j) WHERE row_idx < 4 AND col_idx < 20")
