@@ -143,6 +143,8 @@ _FILLER_COMMAND = re.compile(r"\\(?:lipsum|blindtext|Blindtext|blinddocument|kan
 _REFERENCE = re.compile(r"\bref\.?\s*:?\s*[\w-]+\b|\b\w+/0\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _BRACKET = re.compile(r"\{\{|[$#]\{|<%|\{%|@@|%%|__|<<|<\w[\w -]*/?>|\[(?:your|insert|add|enter|put|type)\b")
+#: One of these stands in every text that the pattern fits.
+_MARKS = ("{{", "${", "#{", "<", "{%", "@@", "%%", "__", "[")
 #: Words of the statements and headings that real articles share.
 CUSTOMARY = re.compile(
     r"\b(?:conflicts?|competing|interests?|acknowledg\w*|thank\w*|grateful|gratitude|fund(?:ed|ing)|grants?|supported by|licen[cs]\w*|copyright|rights reserved|on (?:reasonable )?request|availab(?:le (?:at|from|in|on)|ility)|"
@@ -193,9 +195,11 @@ def parts_of(text: str) -> list[tuple[str, str]]:
     t = _VERBATIM.sub(" ", t)
     if "%" in t:
         kept: list[str] = []
-        t = _KEPT_PERCENT.sub(lambda m: kept.append(m[0]) or f"\x00{len(kept) - 1}\x00", t)
+        if "{%" in t or "<%" in t or "%%" in t:
+            t = _KEPT_PERCENT.sub(lambda m: kept.append(m[0]) or f"\x00{len(kept) - 1}\x00", t)
         t = _COMMENT.sub("", t)
-        t = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], t)
+        if kept:
+            t = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], t)
     t = _NOTE.sub(" ", t)
     out = []
     for name, pattern in _PART.items():
@@ -246,12 +250,12 @@ def _keyboard(words: list[str], text: str) -> bool:
     return home > 0.97 and sum(map(letters.count, "aeiouyäöüéèàíóú")) / len(letters) < 0.32
 
 
-def classify(text: str) -> str | None:
-    """``placeholder``, ``filler``, ``message`` or ``vague`` for a masked text, else None."""
+def classify(text: str, words: list[str] | None = None) -> str | None:
+    """``placeholder``, ``filler``, ``message`` or ``vague`` for a masked text (of the given words), else None."""
     if not text:
         return None
-    words = _WORD.findall(text)
-    marked = _BRACKET.search(text) is not None
+    words = _WORD.findall(text) if words is None else words
+    marked = any(map(text.__contains__, _MARKS)) and _BRACKET.search(text) is not None
     # a text of messages and placeholders consists of their words, or has the marks of a template
     phrases = marked or sum(map(PHRASE_WORDS.__contains__, words)) >= 0.5 * len(words)
     rest = _PLACEHOLDER.sub(" ", text) if phrases else text
@@ -286,12 +290,18 @@ def classify(text: str) -> str | None:
     return None
 
 
-def _open(text: str) -> str | None:
+def verdict_of(text: str) -> str | None:
+    """What :func:`classify` says of a masked text, else what it is if it recurs."""
+    words = _WORD.findall(text)
+    return classify(text, words) or _open(text, words)
+
+
+def _open(text: str, words: list[str]) -> str | None:
     """``text`` or ``long`` for a masked text that is residue if it recurs in otherwise different documents, else None.
 
     Markup alone, a single word and customary statements are not.
     """
-    words = len(_WORD.findall(_MARKUP.sub(" ", text) if "\\" in text else text))
+    words = len(_WORD.findall(_MARKUP.sub(" ", text)) if "\\" in text else words)
     if words < 2 or CUSTOMARY.search(text):
         return None
     return "text" if words < ARTICLE_WORDS else "long"
@@ -345,7 +355,7 @@ def residue(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
                         beside.setdefault(part.removeprefix("cut "), int.from_bytes(key[:8], "little", signed=True))
                         own = key if "0" not in m else _digest(m)
                         if own not in known:
-                            known[own] = classify(m) or _open(m)
+                            known[own] = verdict_of(m)
                         if verdict := known[own]:
                             found.setdefault((key, part), verdict)
                 for (key, part), verdict in found.items():
