@@ -161,11 +161,11 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
 
 
 def _item_words(items: DataFrame, item_id: str, item_text: str, run: int) -> Iterator[tuple]:
-    """Items of at least ``run`` words, streamed to the driver part by part."""
-    for row in items.select(item_id, item_text).distinct().toLocalIterator():
-        got = words(row[1])
-        if len(got) >= run:
-            yield row[0], got
+    """Items of at least ``run`` words, cleaned by the tasks and streamed to the driver part by part."""
+    kind = items.schema[item_id].dataType.simpleString()
+    plain = items.select(F.col(item_id).alias("d"), F.col(item_text).alias("t")).distinct().mapInArrow(_cleaned, f"d {kind}, t string")
+    for row in plain.filter(F.size(F.split("t", " ")) >= run).toLocalIterator():
+        yield row.d, row.t.split(" ")
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
