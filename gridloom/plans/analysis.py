@@ -422,9 +422,9 @@ def predict_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS pos, CAST(embedding[1] AS DOUBLE) AS b1, CAST(embedding[64] AS DOUBLE) AS b64, label FROM embeddings")
 def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """The training set written as a doubly encoded document and read again."""
-    document = doc.training_document(samples(spark, d), "vec_id", table(spark, d, "labels_map").filter("classname is not null"))
-    return doc.training_rows(document).select("pos", F.col("features")[0].alias("b1"), F.col("features")[63].alias("b64"), "label")
+    """The training set written as doubly encoded documents of bounded size and read again in order."""
+    document = doc.training_documents(samples(spark, d), "vec_id", table(spark, d, "labels_map").filter("classname is not null"), 1000)
+    return doc.training_rows(document, 1000).select("pos", F.col("features")[0].alias("b1"), F.col("features")[63].alias("b64"), "label")
 
 
 @query(f"WITH {PX} SELECT row_idx, to_json(list(scl ORDER BY col_idx)) AS \"values\" FROM px GROUP BY 1")

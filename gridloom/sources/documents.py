@@ -52,10 +52,12 @@ def training_labels(documents: DataFrame) -> DataFrame:
     return parsed.select(F.explode("m").alias("classname", "id")).distinct()
 
 
-def training_rows(documents: DataFrame) -> DataFrame:
-    """``(pos, features, label)`` of documents."""
-    parsed = documents.select(decode_twice(F.col("document"), TRAINING).alias("d"))
-    return parsed.select(F.posexplode(F.arrays_zip("d.X", "d.y")).alias("pos", "z")).select("pos", F.col("z.X").alias("features"), F.col("z.y").alias("label"))
+def training_rows(documents: DataFrame, rows: int | None = None) -> DataFrame:
+    """``(pos, features, label)`` of documents; ``pos`` counts within each, or over numbered ones of ``rows`` samples."""
+    first = F.lit(0) if rows is None else (F.col("number") * rows).cast("int")
+    parsed = documents.select(first.alias("first"), decode_twice(F.col("document"), TRAINING).alias("d"))
+    each = parsed.select("first", F.posexplode(F.arrays_zip("d.X", "d.y")).alias("pos", "z"))
+    return each.select((F.col("first") + F.col("pos")).alias("pos"), F.col("z.X").alias("features"), F.col("z.y").alias("label"))
 
 
 def class_map_rows(pixels: DataFrame) -> DataFrame:
