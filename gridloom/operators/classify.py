@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from gridloom.functions.numeric import finite_or_zero
-from gridloom.session import activate
+from gridloom.session import activate, cut
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def train_forest(samples: DataFrame, features: str = "features", label: str = "l
     if samples.rdd.getNumPartitions() <= cores:
         samples = samples.repartition(max(1, min(cores, -(-samples.count() // TASK_SAMPLES))), F.xxhash64(features, label))
     data = _vectors(samples, features).select("_features", F.col(label).cast("double").alias("_label"))
-    return RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True).fit(data)
+    return RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=512, cacheNodeIds=True).fit(data)
 
 
 def predict(pixels: DataFrame, model, features: str = "features") -> DataFrame:
@@ -177,7 +177,8 @@ def train_and_report(samples: DataFrame, key: str, trees: int = 200, test_share:
     ``report`` is ``(part, accuracy, kappa)`` for the training and the test rows.
     """
     model, done = train_and_predict(samples, key, trees, test_share, seed, depth)
-    parts = [accuracy_kappa(done.filter(F.col("is_test") == F.lit(t))).withColumn("part", F.lit(name)) for t, name in ((False, "train"), (True, "test"))]
+    counts = cut(done.groupBy("is_test", "truth", "prediction").agg(F.count(F.lit(1)).alias("n")), "counts")  # every row is predicted once
+    parts = [_scores(counts.filter(F.col("is_test") == F.lit(t))).withColumn("part", F.lit(name)) for t, name in ((False, "train"), (True, "test"))]
     return model, parts[0].unionByName(parts[1]).select("part", "accuracy", "kappa")
 
 

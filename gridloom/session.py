@@ -135,8 +135,9 @@ def clear(spark: SparkSession) -> None:
 
 def _delete(path: str) -> None:
     _HELD.pop(path, None)
-    at, fs = _FILES.pop(path)
-    fs.delete(at, True)
+    if found := _FILES.pop(path, None):  # another thread may have been faster
+        at, fs = found
+        fs.delete(at, True)
 
 
 @atexit.register
