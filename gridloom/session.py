@@ -120,7 +120,13 @@ def sweep(spark: SparkSession, collect: bool = False) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
     for path, seen in list(_HELD.items()):
-        if seen is not None and seen.refersTo(None):
+        try:
+            unread = seen is not None and seen.refersTo(None)
+        except Py4JError:  # of a JVM that has ended
+            _HELD.pop(path, None)
+            _FILES.pop(path, None)
+            continue
+        if unread:
             _delete(path)
 
 
